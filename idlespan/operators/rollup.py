@@ -58,10 +58,13 @@ def resource_hours_of_charges(charges: DataFrame, distribute_cost: bool = True,
     pieces = _cut_at_midnight(with_hourly_cost(charges, distribute_cost))
     partial = [F.sum(c).alias(f"_{c}") for c in (*sums, *means)]
     partial += [F.count(c).alias(f"_n_{c}") for c in means]
+    # Pieces grow into up to 24 rows each after this shuffle, so its partitions must
+    # not be merged by their size before; naming the number keeps them apart.
+    partitions = int(charges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     distinct_pieces = (
         pieces.groupBy(*keys, USAGE_DATE, "_first", "_length")
         .agg(F.count(F.lit(1)).alias("_rows"), *partial)
-        .repartition("ResourceId", USAGE_DATE)
+        .repartition(partitions, "ResourceId", USAGE_DATE)
     )
     hours = distinct_pieces.withColumn(
         "_hour", F.explode(F.sequence(F.lit(0), F.col("_length") - 1)))
