@@ -12,6 +12,7 @@ from idlespan.operators import learning, overprovisioned, timegrid, unused
 from idlespan.operators.conversion import of_cloud
 from idlespan.operators.streaks import longest_runs
 from idlespan.plans import detection as plans
+from idlespan.session import written
 
 _LOW = {"ConsecutiveCPUHours": "AvgCPUUsage < 0.3", "ConsecutiveMemoryHours": "AvgMemoryUsage < 0.3"}
 _ZERO = {"ConsecutiveZeroHours": "TotalEffectiveCost = 0 AND TotalConsumedQuantity = 0"}
@@ -172,7 +173,7 @@ def _(charges):
 
 
 def _estimated(charges):
-    patterns = learning.learn_patterns(learning.clean_usage(charges))
+    patterns = written(learning.learn_patterns(learning.clean_usage(charges)))
     aws = charges.filter(F.col("ProviderName") == "AWS")
     return learning.attach_estimates(aws, learning.estimate_services(charges, patterns))
 
@@ -181,8 +182,8 @@ def _estimated(charges):
 _SPLIT = 0.4495
 
 
-def _low_estimates(charges):
-    return overprovisioned.low_estimates(_estimated(charges), _SPLIT, _SPLIT)
+def _low_estimates(estimated):
+    return overprovisioned.low_estimates(estimated, _SPLIT, _SPLIT)
 
 
 @query("o7_estimate_based_detection", using("low_estimates", threshold=_SPLIT) + """
@@ -190,7 +191,7 @@ SELECT ResourceId, ServiceName, ChargePeriodStart, method, round(cpu_mean, 8) AS
        round(memory_mean, 8) AS memory_mean, round(CPUWastePercent, 6) AS CPUWastePercent,
        round(MemoryWastePercent, 6) AS MemoryWastePercent, PotentialSavings FROM low_estimates""")
 def _(charges):
-    return rounded(_low_estimates(charges).select(
+    return rounded(_low_estimates(_estimated(charges)).select(
         "ResourceId", "ServiceName", "ChargePeriodStart", "method", "cpu_mean", "memory_mean",
         "CPUWastePercent", "MemoryWastePercent", "PotentialSavings"),
         cpu_mean=8, memory_mean=8, CPUWastePercent=6, MemoryWastePercent=6)
@@ -211,7 +212,8 @@ SELECT count(*) AS overprovisioned_count, round(avg(cpu_mean) * 100, 5) AS avg_c
        round(count(*) / (SELECT count(*) FROM estimated) * 100, 8) AS detection_rate
 FROM low_estimates""")
 def _(charges):
-    summary = overprovisioned.estimate_detection_summary(_estimated(charges), _low_estimates(charges))
+    estimated = _estimated(charges)
+    summary = overprovisioned.estimate_detection_summary(estimated, _low_estimates(estimated))
     return rounded(summary, avg_cpu_usage=5, avg_memory_usage=5, avg_cpu_waste=5, avg_memory_waste=5,
                    avg_confidence=6, total_potential_savings=2, yearly_savings=1, detection_rate=8)
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from catalog.registry import query, rounded
 from catalog.sql import add, using
 from idlespan.operators import learning, validation
+from idlespan.session import written
 
 _STATS = ("mean", "median", "std", "min", "max", "q25", "q50", "q75")
 _FLAT = [f"{m}_{s}" for m in ("cpu", "memory") for s in _STATS]
@@ -22,7 +23,8 @@ def patterns_of(charges):
 
 
 def estimates_of(charges):
-    return learning.estimate_services(charges, patterns_of(charges))
+    """Patterns are learned and stored once, then applied."""
+    return learning.estimate_services(charges, written(patterns_of(charges)))
 
 
 @query("i1_clean_usage", using("usage") + """
@@ -57,7 +59,7 @@ _SUMMARY = [f"{m}_{s}" for m in ("cpu", "memory") for s in ("mean", "median", "m
 SELECT (SELECT count(*) FROM patterns) AS services,
        (SELECT CAST(sum(sample_count) AS BIGINT) FROM patterns) AS total_samples, {rounds(_SUMMARY, 8)} FROM average""")
 def _(charges):
-    return rounded(learning.pattern_summary(patterns_of(charges)), **{c: 8 for c in _SUMMARY})
+    return rounded(learning.pattern_summary(written(patterns_of(charges))), **{c: 8 for c in _SUMMARY})
 
 
 @query("i3_top_patterns", using("patterns") + """
@@ -172,8 +174,8 @@ def split_of(charges):
 
 
 def _compared(charges, services: bool = False):
-    split = split_of(charges)
-    patterns = validation.train_patterns(validation.part(split, "train"))
+    split = written(split_of(charges))
+    patterns = written(validation.train_means(validation.part(split, "train")))
     test = validation.part(split, "test")
     return (validation.compare_services if services else validation.compare_rows)(test, patterns)
 
@@ -191,7 +193,7 @@ _TRAIN = [f"{m}_{s}" for m in ("cpu", "memory") for s in ("mean", "std", "median
 @query("i10_train_patterns", using("train_patterns") + f"""
 SELECT service_name, sample_count, {rounds(_TRAIN, 8)} FROM train_patterns""")
 def _(charges):
-    return rounded(validation.train_patterns(validation.part(split_of(charges), "train")), **{c: 8 for c in _TRAIN})
+    return rounded(validation.train_patterns(validation.part(written(split_of(charges)), "train")), **{c: 8 for c in _TRAIN})
 
 
 @query("i11_row_validation", using("compared") + """

@@ -49,7 +49,8 @@ def learn_patterns(usage: DataFrame) -> DataFrame:
     wide = spread.groupBy("service_name").agg(*[
         F.max(F.when(F.col("metric") == m, F.col(q))).alias(f"{m}_{q}")
         for m in _METRICS for q in _QUANTILES])
-    both = plain.join(wide, "service_name")
+    # A left join lets Spark drop the quantiles where a caller does not use them.
+    both = plain.join(wide, "service_name", "left")
     return both.select("service_name", "sample_count", *[
         F.struct(*[F.col(f"{m}_{'q50' if s == 'median' else s}").alias(s) for s in _STATS]).alias(m)
         for m in _METRICS])

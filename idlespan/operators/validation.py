@@ -50,22 +50,30 @@ def part(split: DataFrame, name: str) -> DataFrame:
     return split.filter(count > 0).select(*_ROW, count.alias("copies"))
 
 
-def train_patterns(train: DataFrame) -> DataFrame:
-    """Per service: sample count, mean, deviation and median of both usages."""
+def train_means(train: DataFrame) -> DataFrame:
+    """Per service: sample count and mean of both usages; all the estimates need."""
     weight = F.col("copies")
     total = F.sum(weight)
-    means = train.groupBy("service_name").agg(
+    return train.groupBy("service_name").agg(
         total.alias("sample_count"),
         *[(F.sum(F.col(m) * weight) / total).alias(f"{m}_mean") for m in _METRICS])
-    centred = train.join(means, "service_name").groupBy("service_name").agg(*[
+
+
+def train_patterns(train: DataFrame) -> DataFrame:
+    """Per service: sample count, mean, deviation and median of both usages."""
+    weight = F.col("copies")
+    means = train_means(train)
+    squares = train.join(means, "service_name").groupBy("service_name").agg(*[
         F.sqrt(F.try_divide(
             F.sum(weight * (F.col(m) - F.col(f"{m}_mean")) ** 2),
             F.nullif(F.sum(weight) - 1, F.lit(0)))).alias(f"{m}_std") for m in _METRICS])
-    result = means.join(centred, "service_name")
-    for m in _METRICS:
-        medians = exact_quantiles(train, ["service_name"], m, {f"{m}_median": 0.5}, weight="copies")
-        result = result.join(medians, "service_name")
-    return result.select("service_name", "sample_count", *[
+    long = train.select("service_name", "copies", F.inline(F.array(*[
+        F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in _METRICS])))
+    medians = exact_quantiles(long, ["service_name", "metric"], "value", {"median": 0.5}, weight="copies")
+    medians = medians.groupBy("service_name").agg(*[
+        F.max(F.when(F.col("metric") == m, F.col("median"))).alias(f"{m}_median") for m in _METRICS])
+    joined = means.join(squares, "service_name", "left").join(medians, "service_name", "left")
+    return joined.select("service_name", "sample_count", *[
         f"{m}_{s}" for m in _METRICS for s in ("mean", "std", "median")])
 
 

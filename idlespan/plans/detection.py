@@ -11,6 +11,7 @@ from idlespan.operators import learning, overprovisioned, reports, timegrid, unu
 from idlespan.operators.conversion import filter_cloud, of_cloud, provider_of_file
 from idlespan.operators.rollup import hourly_aggregate, resource_hours_of_charges
 from idlespan.schema import CHARGES, OVERPROVISIONED_COLUMNS, UNUSED_COLUMNS, keep_existing
+from idlespan.session import written
 from idlespan.sources.tables import SOURCE_FILE, typed
 
 
@@ -42,8 +43,11 @@ def unused_report(charges: DataFrame, idle_days: int = fixed.IDLE_DAYS) -> DataF
 
 def estimated_low_usage(learned_from: DataFrame, charges: DataFrame,
                         mapping=fixed.SERVICE_MAPPING) -> DataFrame:
-    """Learn usage per service from one table and flag another table's charges by it."""
-    patterns = learning.learn_patterns(learning.clean_usage(learned_from))
+    """Learn usage per service from one table and flag another table's charges by it.
+
+    The patterns, one row per service, are written to the shared folder: a job runs.
+    """
+    patterns = written(learning.learn_patterns(learning.clean_usage(learned_from)))
     estimates = learning.estimate_services(charges, patterns, mapping)
     return overprovisioned.low_estimates(learning.attach_estimates(charges, estimates))
 
