@@ -1 +1,270 @@
-"""To come."""
+"""Features, splits, models and their measures (M operators).
+
+Queries that fit models have no SQL twin; the data work around the fit has.
+"""
+
+from __future__ import annotations
+
+from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import functions as F
+
+from catalog.hours import rolled
+from catalog.registry import query, rounded
+from catalog.sql import IS_GCP, add, label, using
+from idlespan import fixed_values as fixed
+from idlespan.operators import features, models, overprovisioned
+from idlespan.operators.conversion import of_cloud
+from idlespan.operators.sampling import hash_split, with_copies
+from idlespan.session import shared_folder, written
+from idlespan.sources.stores import load_models, save_models
+
+_SMALL_FOREST = {"numTrees": 5, "maxDepth": 4}
+_SMALL_BOOSTING = {"maxIter": 3, "maxDepth": 3}
+
+_CLOCK = ("CAST(hour(HourlyTimestamp) AS DOUBLE) AS f_hour, "
+          "CAST(isodow(HourlyTimestamp) - 1 AS DOUBLE) AS f_weekday")
+add("train_rows", ("rollup",), f"""
+SELECT *, AvgCPUUsage AS cpu, AvgMemoryUsage AS memory FROM rollup
+WHERE {IS_GCP} AND AvgCPUUsage > 0 AND AvgCPUUsage <= 1 AND AvgMemoryUsage > 0 AND AvgMemoryUsage <= 1""")
+
+
+def _stored_rollup(charges):
+    """The rollup as a table, since fitting and scoring both read it."""
+    return written(rolled(charges).drop("UsageDate"))
+
+
+def _summary(df, *names):
+    return df.groupBy(*names).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("m1_regression_features", using("rollup") + f"""
+SELECT ResourceId, HourlyTimestamp, coalesce(ServiceName, 'Unknown') AS f_service,
+       coalesce(ResourceType, 'Unknown') AS f_type, round(TotalHourlyCost, 8) AS f_cost, {_CLOCK} FROM rollup""")
+def _(charges):
+    return rounded(features.regression_features(rolled(charges)).select(
+        "ResourceId", "HourlyTimestamp", "f_service", "f_type", "f_cost", "f_hour", "f_weekday"), f_cost=8)
+
+
+@query("m1_boosting_features", using("rollup") + f"""
+SELECT ServiceName, {label("ServiceName", fixed.BOOSTING_RESOURCE_TYPES, "Other")} AS f_type, f_hour, f_weekday,
+       count(*) AS n FROM (SELECT *, {_CLOCK} FROM rollup) GROUP BY ALL""")
+def _(charges):
+    untyped = rolled(charges).drop("ResourceType")
+    return _summary(features.boosting_features(untyped), "ServiceName", "f_type", "f_hour", "f_weekday")
+
+
+@query("m2_classifier_features", using("rollup") + f"""
+SELECT ResourceId, HourlyTimestamp,
+       {label("ServiceName", fixed.SERVICE_CATEGORIES + fixed.GENERIC_CATEGORIES, "Other")} AS f_category,
+       coalesce(ResourceType, 'Unknown') AS f_type, round(ln(1 + TotalHourlyCost), 7) AS f_log_cost, {_CLOCK}
+FROM rollup""")
+def _(charges):
+    return rounded(features.classifier_features(rolled(charges)).select(
+        "ResourceId", "HourlyTimestamp", "f_category", "f_type", "f_log_cost", "f_hour", "f_weekday"), f_log_cost=7)
+
+
+def _codes_sql(unseen: bool) -> str:
+    names = "SELECT ServiceName AS name FROM rollup WHERE " + IS_GCP
+    if unseen:
+        names += " UNION ALL SELECT 'Unknown'"
+    fallback = "(SELECT code FROM codes WHERE name = 'Unknown')" if unseen else "0"
+    return using("rollup") + f"""
+, codes AS (SELECT name, CAST(row_number() OVER (ORDER BY name) - 1 AS DOUBLE) AS code
+            FROM (SELECT DISTINCT name FROM ({names})))
+SELECT ServiceName, coalesce(code, {fallback}) AS code, count(*) AS n
+FROM rollup LEFT JOIN codes ON name = ServiceName GROUP BY ALL"""
+
+
+def _codes(charges, unseen):
+    rows = features.regression_features(_stored_rollup(charges))
+    fitted = models.fit_codes(of_cloud(rows, "GCP"), ["f_service"], unseen)
+    coded = fitted.transform(rows).withColumn("code", F.col("f_service_code"))
+    return _summary(coded, "ServiceName", "code")
+
+
+@query("m3_name_codes_unseen_first", _codes_sql(False))
+def _(charges):
+    return _codes(charges, None)
+
+
+@query("m3_name_codes_unseen_unknown", _codes_sql(True))
+def _(charges):
+    return _codes(charges, "Unknown")
+
+
+@query("m4_standard_scaling", using("charges") + """
+, s AS (SELECT avg(BilledCost) AS m1, stddev_samp(BilledCost) AS s1, avg(ConsumedQuantity) AS m2,
+               stddev_samp(ConsumedQuantity) AS s2 FROM charges)
+SELECT ResourceId, ChargePeriodStart, round((BilledCost - m1) / s1, 6) AS cost,
+       round((ConsumedQuantity - m2) / s2, 6) AS quantity FROM charges, s""")
+def _(charges):
+    vectors = VectorAssembler(inputCols=["BilledCost", "ConsumedQuantity"], outputCol="v").transform(charges)
+    scaler = StandardScaler(withMean=True, withStd=True, inputCol="v", outputCol="scaled")
+    scaled = vector_to_array("scaled")
+    return rounded(scaler.fit(vectors).transform(vectors).select(
+        "ResourceId", "ChargePeriodStart", scaled[0].alias("cost"), scaled[1].alias("quantity")), cost=6, quantity=6)
+
+
+@query("m5_training_rows", using("train_rows") + """
+SELECT ServiceName, count(*) AS n, round(min(cpu), 8) AS low, round(max(memory), 8) AS high FROM train_rows GROUP BY 1""")
+def _(charges):
+    rows = features.training_rows(of_cloud(rolled(charges), "GCP"))
+    return rounded(rows.groupBy("ServiceName").agg(
+        F.count(F.lit(1)).alias("n"), F.min("cpu").alias("low"), F.max("memory").alias("high")), low=8, high=8)
+
+
+add("counted_rows", ("train_rows",), """
+SELECT ServiceName, CAST(hour(HourlyTimestamp) AS INTEGER) AS hour, CAST(round(cpu * 1000000) AS BIGINT) AS c,
+       CAST(round(memory * 1000000) AS BIGINT) AS m, count(*) AS copies FROM train_rows GROUP BY ALL""")
+
+
+def _counted(charges):
+    rows = features.training_rows(of_cloud(rolled(charges), "GCP"))
+    whole = rows.select("ServiceName", F.hour("HourlyTimestamp").alias("hour"),
+                        F.round(F.col("cpu") * 1000000).cast("bigint").alias("c"),
+                        F.round(F.col("memory") * 1000000).cast("bigint").alias("m"))
+    return with_copies(whole, ["ServiceName", "hour", "c", "m"])
+
+
+def _cut_sql(wanted: str, seed: int) -> str:
+    return using("counted_rows") + f"""
+SELECT ServiceName, hour, c, m, copies,
+       CAST(greatest(least({wanted} - (upto - copies), copies), 0) AS BIGINT) AS train_copies
+FROM (SELECT *, sum(copies) OVER () AS n, sum(copies) OVER (ORDER BY h ROWS UNBOUNDED PRECEDING) AS upto
+      FROM (SELECT *, md5('{seed}|' || ServiceName || '|' || hour || '|' || c || '|' || m) AS h FROM counted_rows))"""
+
+
+@query("m6_random_split", _cut_sql("floor(n * 0.8)", 42))
+def _(charges):
+    by = [F.col(c) for c in ("ServiceName", "hour", "c", "m")]
+    return hash_split(_counted(charges), by=by).drop("test_copies")
+
+
+@query("m6_sample", _cut_sql("least(n, 50000)", 7))
+def _(charges):
+    by = [F.col(c) for c in ("ServiceName", "hour", "c", "m")]
+    return hash_split(_counted(charges), by=by, train_fraction=1.0, max_train_rows=50_000, seed=7).drop("test_copies")
+
+
+def _classes(charges):
+    """Usages are rounded so that both engines see the same values at the limits."""
+    rows = features.training_rows(of_cloud(rolled(charges), "GCP"))
+    return features.with_usage_classes(rounded(rows, cpu=9, memory=9))
+
+
+add("train_rows_rounded", ("train_rows",), "SELECT * REPLACE (round(cpu, 9) AS cpu, round(memory, 9) AS memory) FROM train_rows")
+add("classes", ("train_rows_rounded",), """
+SELECT *, CASE WHEN cpu < (SELECT quantile_cont(cpu, 0.25) FROM train_rows_rounded) THEN 'Low'
+               WHEN cpu < (SELECT quantile_cont(cpu, 0.75) FROM train_rows_rounded) THEN 'Medium' ELSE 'High' END AS cpu_class,
+       CASE WHEN memory < (SELECT quantile_cont(memory, 0.25) FROM train_rows_rounded) THEN 'Low'
+            WHEN memory < (SELECT quantile_cont(memory, 0.75) FROM train_rows_rounded) THEN 'Medium' ELSE 'High' END AS memory_class
+FROM train_rows_rounded""")
+
+
+@query("m9_usage_classes", using("classes") + """
+SELECT ServiceName, cpu_class, memory_class, count(*) AS n FROM classes GROUP BY ALL""")
+def _(charges):
+    return _summary(_classes(charges), "ServiceName", "cpu_class", "memory_class")
+
+
+@query("m12_confusion", using("classes") + """
+SELECT cpu_class AS actual, memory_class AS predicted, count(*) AS n FROM classes GROUP BY ALL""")
+def _(charges):
+    return models.confusion(_classes(charges), "cpu_class", "memory_class")
+
+
+@query("m12_classification_metrics", using("classes") + """
+, c AS (SELECT k, count(*) FILTER (WHERE cpu_class = k) AS a, count(*) FILTER (WHERE memory_class = k) AS p,
+               count(*) FILTER (WHERE cpu_class = k AND memory_class = k) AS t
+        FROM classes, (VALUES ('Low'), ('Medium'), ('High')) v(k) GROUP BY k)
+SELECT round(sum(t) / sum(a), 8) AS accuracy, round(avg(t / p), 8) AS precision, round(avg(t / a), 8) AS recall,
+       round(avg(2 * t / (a + p)), 8) AS f1 FROM c""")
+def _(charges):
+    measured = models.classification_metrics(models.confusion(_classes(charges), "cpu_class", "memory_class"))
+    return rounded(measured, accuracy=8, precision=8, recall=8, f1=8)
+
+
+# --- fitted models: no SQL twin -----------------------------------------------------
+
+def _regression(charges, **options):
+    table = _stored_rollup(charges)
+    trainer = models.RegressionTrainer(**options)
+    fitted, rows = trainer.fit(table)
+    return trainer, fitted, rows, table
+
+
+@query("m7_forest_regression")
+def _(charges):
+    """AWS rows with usage predicted by random forests, flagged."""
+    trainer, fitted, _, table = _regression(charges, **_SMALL_FOREST)
+    return overprovisioned.flag_predictions(trainer.predict(fitted, of_cloud(table, "AWS")))
+
+
+@query("m8_boosted_regression")
+def _(charges):
+    """AWS rows with usage predicted by boosted trees, kept within [0, 1]."""
+    trainer, fitted, _, table = _regression(charges, boosting=True, **_SMALL_BOOSTING)
+    return trainer.predict(fitted, of_cloud(table, "AWS"))
+
+
+@query("m12_regression_metrics")
+def _(charges):
+    _, fitted, rows, _ = _regression(charges, **_SMALL_FOREST)
+    return models.regression_metrics(fitted, rows)
+
+
+@query("m12_feature_importance")
+def _(charges):
+    _, fitted, rows, _ = _regression(charges, **_SMALL_FOREST)
+    return models.feature_importance(
+        fitted["cpu"], [*features.REGRESSION_CATEGORIES, *features.REGRESSION_NUMBERS], rows)
+
+
+@query("m13_comparison_with_baseline")
+def _(charges):
+    _, fitted, rows, _ = _regression(charges, boosting=True, **_SMALL_BOOSTING)
+    return models.compare_with_baseline(models.regression_metrics(fitted, rows))
+
+
+def _classifier(charges, **options):
+    table = _stored_rollup(charges)
+    trainer = models.ClassTrainer(**options)
+    fitted, rows = trainer.fit(table)
+    return trainer, fitted, rows, table
+
+
+@query("m10_forest_classification")
+def _(charges):
+    """AWS rows with predicted usage classes, flagged."""
+    trainer, fitted, _, table = _classifier(charges, **_SMALL_FOREST)
+    return overprovisioned.flag_classes(trainer.predict(fitted, of_cloud(table, "AWS")))
+
+
+@query("m10_class_metrics")
+def _(charges):
+    _, fitted, rows, _ = _classifier(charges, **_SMALL_FOREST)
+    return models.compare_with_guessing(models.class_metrics(fitted, rows))
+
+
+@query("m11_random_search")
+def _(charges):
+    """Classifiers chosen from two random settings by cross-validation."""
+    _, fitted, rows, _ = _classifier(charges, tuning_draws=2, space={"numTrees": (2, 3), "maxDepth": (2, 3)})
+    return models.class_metrics(fitted, rows)
+
+
+@query("o4_aws_model_streaks")
+def _(charges):
+    """AWS compute resources with long runs of rows a fitted model calls 'Low'."""
+    trainer, fitted, _, table = _classifier(charges, **_SMALL_FOREST)
+    scored = trainer.predict(fitted, overprovisioned.compute_rows(of_cloud(table, "AWS")))
+    return overprovisioned.aws_low_streaks(scored)
+
+
+@query("s13_model_store")
+def _(charges):
+    """Predictions of models that were saved and loaded."""
+    trainer, fitted, _, table = _regression(charges, **_SMALL_FOREST)
+    loaded = load_models(save_models(fitted, shared_folder(charges.sparkSession)))
+    return trainer.predict(loaded, of_cloud(table, "AWS"))
