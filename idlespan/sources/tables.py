@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from idlespan.operators.timegrid import merge_tables
 from idlespan.schema import CHARGES
 
 SOURCE_FILE = "SourceFile"
+_HEADER_JOBS = 16
 
 
 def read_charges(spark: SparkSession, path: str, schema: T.StructType = CHARGES) -> DataFrame:
@@ -60,10 +62,15 @@ def read_folder(spark: SparkSession, folder: str) -> DataFrame:
     files = [row.path for row in listed.select("path").orderBy("path").collect()]
     if not files:
         raise FileNotFoundError(f"no CSV files in {folder}")
+
+    def header_of(file: str) -> tuple[str, ...]:
+        """A job that reads one line; many run at a time."""
+        return tuple(spark.read.option("header", True).csv(file).columns)
+
     by_header: dict[tuple[str, ...], list[str]] = {}
-    for file in files:
-        header = tuple(spark.read.option("header", True).csv(file).columns)
-        by_header.setdefault(header, []).append(file)
+    with ThreadPoolExecutor(_HEADER_JOBS) as pool:
+        for file, header in zip(files, pool.map(header_of, files)):
+            by_header.setdefault(header, []).append(file)
     return merge_tables(*[
         read_text_csv(spark, paths, header).select("*", F.col("_metadata.file_path").alias(SOURCE_FILE))
         for header, paths in by_header.items()])
