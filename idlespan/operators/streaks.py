@@ -57,12 +57,17 @@ def longest_runs(
 
 
 def _block_summaries(rows, flags, key, time, means, keep_last, gap_aware) -> DataFrame:
-    in_block = Window.partitionBy(key, USAGE_DATE).orderBy(*time_order(rows, time))
+    # Sorting looks at the first column most; a hash of the block tells nearly all
+    # blocks apart there.  Blocks are still told apart by their key and day.
+    rows = rows.withColumn("_block", F.xxhash64(key, USAGE_DATE))
+    block = ["_block", key, USAGE_DATE]
+    in_block = Window.partitionBy(*block).orderBy(*time_order(rows, time))
     so_far = in_block.rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
     marked = rows.select(
-        key, USAGE_DATE, time, *[c for c in (*means, *keep_last) if c not in (key, USAGE_DATE, time)],
+        *block, time, *[c for c in (*means, *keep_last) if c not in (key, USAGE_DATE, time)],
         F.row_number().over(in_block).alias("_n"),
+        *([F.lead(F.lit(1)).over(in_block).isNull().alias("_is_last")] if keep_last else []),
         *([F.lag(time).over(in_block).alias("_previous")] if gap_aware else []),
         *[c for c in time_order_columns(rows) if c not in (key, time, *means, *keep_last)],
         *[flag.alias(f"_on_{name}") for name, flag in flags.items()],
@@ -88,10 +93,12 @@ def _block_summaries(rows, flags, key, time, means, keep_last, gap_aware) -> Dat
     for column in means:
         measures += [F.sum(column).alias(f"_sum_{column}"), F.count(column).alias(f"_cnt_{column}")]
     if keep_last:
-        measures.append(F.max_by(F.struct(*keep_last), position).alias("_last"))
+        # Rows other than the block's last have no rank, so no struct is built for them.
+        rank = F.when(F.col("_is_last"), position)
+        measures.append(F.max_by(F.struct(*keep_last), rank).alias("_last"))
     if gap_aware:
         measures += [F.min(time).alias("_from"), F.max(time).alias("_to")]
-    return marked.groupBy(key, USAGE_DATE).agg(*measures)
+    return marked.groupBy(*block).agg(*measures).drop("_block")
 
 
 def time_order_columns(df: DataFrame) -> list[str]:
