@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Bytes of text that a Python worker looks at together.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 16 << 20
 
 
 def place(df: DataFrame, name: str) -> int:
@@ -46,7 +46,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str | int, most: int = SLI
             continue
         sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
         blocks = np.cumsum(sizes) // most
-        starts = np.flatnonzero(np.diff(blocks, prefix=-1))
+        starts = np.flatnonzero(np.diff(blocks, prepend=-1))
         for begin, end in zip(starts, [*starts[1:], batch.num_rows]):
             yield batch.slice(begin, end - begin)
 

@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from idlespan.llm import chat
+import public_tokenizers
+from idlespan.llm import bpe, chat
+from idlespan.llm.frames import picked
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -65,3 +67,17 @@ def op7_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
         "conv_id", F.size("turns").cast("long").alias("n_turns"), hexed(whole).alias("turns_sha256"),
         F.length("loss").cast("long").alias("loss_chars"), hexed(F.col("loss")).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"))
+
+
+#: Vocabulary files of public tokenizers; give another path to read them elsewhere.
+BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
+
+
+@query()
+def op5_bpe_round_trip(spark: SparkSession, folder: str, vocabulary: str | None = None) -> DataFrame:
+    """Every text to ids and back."""
+    tables = bpe.vocabulary(vocabulary or public_tokenizers.path(BYTE_BPE))
+    rows = picked(table(spark, folder, "documents"), doc_id="doc_id", text="text")
+    coded = bpe.encode(rows, tables, decoded=True)
+    return coded.select(F.col("c0").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"),
+                        hexed(F.array_join("ids", ",")).alias("ids_sha256"), hexed(F.col("decoded")).alias("decoded_sha256"))
