@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from idlespan.llm.frames import mapped, ragged
+from idlespan.llm.frames import mapped, numbered, place, ragged, ship
 
 #: White space of Unicode, as the pattern below means it.
 _SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -29,7 +29,7 @@ _PATTERN = (rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}
 #: A blank that ends a text or stands before other white space (RE2); such texts are cut with care.
 _ODD_BLANK = (r" ([\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|$)")
 #: Bytes from which on a word is merged with a heap.
-_LONG_WORD = 200
+LONG_WORD = 200
 _NEVER = np.iinfo(np.int64).max
 
 
@@ -78,22 +78,23 @@ class _Table:
         return out
 
 
-class ByteBpe:
-    """Tables of a byte-level BPE vocabulary file; tokens count by merge order ("rank"), 0 to 255 are bytes.
+class Merges:
+    """Merge rules of a byte-level BPE vocabulary file; tokens count by merge order ("rank"), single bytes first.
 
-    Its size is that of the vocabulary, so it can be sent to every task.
+    Where the file marks the end of words, a word's last byte is another token: the
+    bytes are followed by the same with the mark.  The size is that of the
+    vocabulary, so it can be sent to every task.
     """
 
     def __init__(self, file: str):
         model = json.loads(file)
         letters = _byte_letters()
-        spelled = lambda token: bytes(letters[c] for c in token)
+        self.mark = model["model"].get("end_of_word_suffix") or ""
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["model"]["merges"]]
-        vocabulary = model["model"]["vocab"]
         single = {b: c for c, b in letters.items()}
-        rank = {single[b]: b for b in range(256)}
-        self.left, self.right = [-1] * 256, [-1] * 256
         names = [single[b] for b in range(256)]
+        names += [n + self.mark for n in names] if self.mark else []
+        self.left, self.right, rank = [-1] * len(names), [-1] * len(names), {n: r for r, n in enumerate(names)}
         for a, b in merges:
             if a + b not in rank:
                 rank[a + b] = len(names)
@@ -102,31 +103,21 @@ class ByteBpe:
                 self.right.append(rank[b])
         self.merge = {(rank[a], rank[b]): rank[a + b] for a, b in reversed(merges)}
         self.left, self.right = np.array(self.left), np.array(self.right)
+        vocabulary = model["model"]["vocab"]
         self.ids = np.array([vocabulary[n] for n in names], dtype=np.int32)
-        self.bytes = [spelled(n) for n in names]
+        self.bytes = [bytes(letters[c] for c in n.removesuffix(self.mark)) for n in names]
         self.pairs = _Table(np.array([a * len(names) + b for a, b in self.merge], dtype=np.int64),
                             np.array(list(self.merge.values()), dtype=np.int64))
         self.special = {t["content"]: t["id"] for t in model["added_tokens"]}
-        #: Tokens that encode to themselves: what greedy matching may propose.
-        whole = {b: r for r, b in enumerate(self.bytes) if self.merged(b) == [r]}
-        nodes = {b"": 0}
-        steps = []
-        for token in whole:
-            for end in range(1, len(token) + 1):
-                if token[:end] not in nodes:
-                    nodes[token[:end]] = len(nodes)
-                    steps.append((nodes[token[:end - 1]] * 256 + token[end - 1], nodes[token[:end]]))
-        steps = np.array(steps, dtype=np.int64)
-        self.steps = _Table(steps[:, 0], steps[:, 1])
-        self.rank_of_node = np.array([whole.get(b, -1) for b in nodes], dtype=np.int64)
-        self.spelling = {int(i): b for i, b in zip(self.ids, self.bytes)} | {
-            i: s.encode() for s, i in self.special.items()}
+
+    def parts(self, word: bytes) -> list[int]:
+        return [*word[:-1], word[-1] + 256] if self.mark else list(word)
 
     def merged(self, word: bytes) -> list[int]:
         """Exact: the pair of least rank merges first, the leftmost of equal ones."""
-        if len(word) > _LONG_WORD:
-            return self._merged_by_heap(word)
-        parts, get = list(word), self.merge.get
+        if len(word) > LONG_WORD:
+            return self.merged_by_heap(word)
+        parts, get = self.parts(word), self.merge.get
         ranks = [get(p, _NEVER) for p in zip(parts, parts[1:])]
         while ranks and (least := min(ranks)) != _NEVER:
             at = ranks.index(least)
@@ -138,9 +129,9 @@ class ByteBpe:
                 ranks[at] = get((least, parts[at + 1]), _NEVER)
         return parts
 
-    def _merged_by_heap(self, word: bytes) -> list[int]:
+    def merged_by_heap(self, word: bytes) -> list[int]:
         """The same in time n log n, for words of any length."""
-        parts, get, n = list(word), self.merge.get, len(word)
+        parts, get, n = self.parts(word), self.merge.get, len(word)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         heap = [(rank, i, a, b) for i, (a, b) in enumerate(zip(parts, parts[1:])) if (rank := get((a, b))) is not None]
         heapq.heapify(heap)
@@ -157,34 +148,10 @@ class ByteBpe:
                     heapq.heappush(heap, (new, left, parts[left], parts[right]))
         return [p for p in parts if p >= 0]
 
-    def proposed(self, flat: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Greedy longest match of all words (bytes one after the other): ranks, and how many each word has."""
-        end = np.repeat(ends, ends - starts)
-        size, rank = np.ones(len(flat), dtype=np.int64), flat.astype(np.int64)
-        live, node, depth = np.arange(len(flat)), np.zeros(len(flat), dtype=np.int64), 0
-        while len(live):
-            node = self.steps.get(node * 256 + flat[live + depth])
-            depth += 1
-            on = node != _NEVER
-            live, node = live[on], node[on]
-            found = self.rank_of_node[node]
-            token = found >= 0
-            size[live[token]], rank[live[token]] = depth, found[token]
-            inside = live + depth < end[live]
-            live, node = live[inside], node[inside]
-        begins = np.zeros(len(flat) + 1, dtype=np.int64)
-        at, stop = starts[starts < ends], ends[starts < ends]
-        while len(at):
-            begins[at] = 1
-            at = at + size[at]
-            at, stop = at[at < stop], stop[at < stop]
-        before = np.concatenate([[0], np.cumsum(begins[:-1])])
-        return rank[begins[:-1] == 1], before[ends] - before[starts]
-
     def merged_together(self, parts: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """``merged`` of many words: in each round every word merges its first pair of least rank.
 
-        ``word`` tells, in ascending order, which word each byte of ``parts`` is of.
+        ``word`` tells, in ascending order, which word each of the first ``parts`` is of.
         """
         n, done = len(self.ids), []
         parts = parts.astype(np.int64)
@@ -217,6 +184,52 @@ class ByteBpe:
         order = np.argsort(words, kind="stable")
         return out[order], words[order]
 
+
+class ByteBpe(Merges):
+    """Merge rules without marks at word ends, and what greedy matching and its verification need."""
+
+    def __init__(self, file: str):
+        super().__init__(file)
+        if self.mark:
+            raise ValueError("a vocabulary that marks the ends of words")
+        whole = {b: r for r, b in enumerate(self.bytes) if self.merged(b) == [r]}
+        nodes = {b"": 0}
+        steps = []
+        for token in whole:
+            for end in range(1, len(token) + 1):
+                if token[:end] not in nodes:
+                    nodes[token[:end]] = len(nodes)
+                    steps.append((nodes[token[:end - 1]] * 256 + token[end - 1], nodes[token[:end]]))
+        steps = np.array(steps, dtype=np.int64)
+        self.steps = _Table(steps[:, 0], steps[:, 1])
+        self.rank_of_node = np.array([whole.get(b, -1) for b in nodes], dtype=np.int64)
+        self.spelling = {int(i): b for i, b in zip(self.ids, self.bytes)} | {
+            i: s.encode() for s, i in self.special.items()}
+
+    def proposed(self, flat: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Greedy longest match of all words (bytes one after the other): ranks, and how many each word has."""
+        end = np.repeat(ends, ends - starts)
+        size, rank = np.ones(len(flat), dtype=np.int64), flat.astype(np.int64)
+        live, node, depth = np.arange(len(flat)), np.zeros(len(flat), dtype=np.int64), 0
+        while len(live):
+            node = self.steps.get(node * 256 + flat[live + depth])
+            depth += 1
+            on = node != _NEVER
+            live, node = live[on], node[on]
+            found = self.rank_of_node[node]
+            token = found >= 0
+            size[live[token]], rank[live[token]] = depth, found[token]
+            inside = live + depth < end[live]
+            live, node = live[inside], node[inside]
+        begins = np.zeros(len(flat) + 1, dtype=np.int64)
+        at, stop = starts[starts < ends], ends[starts < ends]
+        while len(at):
+            begins[at] = 1
+            at = at + size[at]
+            at, stop = at[at < stop], stop[at < stop]
+        before = np.concatenate([[0], np.cumsum(begins[:-1])])
+        return rank[begins[:-1] == 1], before[ends] - before[starts]
+
     def compatible(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
         """Whether each pair stays apart when its bytes are encoded.
 
@@ -258,12 +271,12 @@ class ByteBpe:
         failing = np.unique(word[inside[~good]])
         if not len(failing):
             return ranks, counts
-        long = lengths[failing] > _LONG_WORD
+        long = lengths[failing] > LONG_WORD
         short = failing[~long]
         parts = flat[ragged(ends[short] - lengths[short], lengths[short])]
         mended = [self.merged_together(parts, np.repeat(short, lengths[short]))]
         for i in failing[long]:
-            merged = np.array(self._merged_by_heap(words[i]), dtype=np.int64)
+            merged = np.array(self.merged_by_heap(words[i]), dtype=np.int64)
             mended.append((merged, np.full(len(merged), i)))
         fine = ~np.isin(word, failing, kind="table")
         word = np.concatenate([word[fine], *[w for _, w in mended]])
@@ -403,8 +416,6 @@ def decode(df: DataFrame, bpe: ByteBpe, *, ids: str = "ids") -> DataFrame:
 
     An id that the vocabulary lacks adds nothing.
     """
-    from idlespan.llm.frames import numbered, place
-
     sent, at, plain = _sent(df.sparkSession, bpe), place(df, ids), numbered(df)
 
     def run(batches):
@@ -422,4 +433,5 @@ def decode(df: DataFrame, bpe: ByteBpe, *, ids: str = "ids") -> DataFrame:
 
 
 def _sent(spark: SparkSession, bpe: ByteBpe):
+    ship(spark)
     return spark.sparkContext.broadcast(bpe)

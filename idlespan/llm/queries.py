@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from idlespan.llm import bpe, chat
+from idlespan.llm import bpe, chat, packing, simhash
 from idlespan.llm.frames import picked
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,3 +81,21 @@ def op5_bpe_round_trip(spark: SparkSession, folder: str, vocabulary: str | None
     coded = bpe.encode(rows, tables, decoded=True)
     return coded.select(F.col("c0").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"),
                         hexed(F.array_join("ids", ",")).alias("ids_sha256"), hexed(F.col("decoded")).alias("decoded_sha256"))
+
+
+@query()
+def op8_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with its fingerprint and the component it belongs to."""
+    rows = picked(table(spark, folder, "documents"), doc_id="doc_id", text="text")
+    found = simhash.near_duplicates(rows, keep_text=False)
+    return found.select(F.col("c0").alias("doc_id"), F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"),
+                        "component_id", "kept")
+
+
+@query()
+def op10_packing(spark: SparkSession, folder: str, vocabulary: str | None = None) -> DataFrame:
+    """Every document's tokens packed into sequences of at most 2048."""
+    rows = picked(table(spark, folder, "documents"), doc_id="doc_id", text="text")
+    pieces = packing.pack_texts(rows, vocabulary or public_tokenizers.path(WORD_BPE))
+    return pieces.select(F.col("c0").alias("doc_id"), "start", "length", F.crc32("piece_ids").alias("ids_crc32"),
+                         "doc_tokens", "sequence_id", "offset")
