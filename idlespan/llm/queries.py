@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from idlespan.llm import bpe, chat, packing, simhash
+from idlespan.llm import bpe, chat, exact_dedup, packing, simhash
 from idlespan.llm.frames import picked
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,6 +73,19 @@ def op7_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 
 
+@query("""
+WITH texts AS (
+  SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS text FROM documents),
+marked AS (SELECT doc_id, sha256(text) AS text_sha256, min(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size
+           FROM texts WINDOW same AS (PARTITION BY text))
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM marked""")
+def op3_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with the one that stays of its copies."""
+    rows = picked(table(spark, folder, "documents"), doc_id="doc_id", text="text")
+    found = exact_dedup.exact_duplicates(rows, keep_text=False)
+    return found.select(F.col("c0").alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256")
+
+
 @query()
 def op5_bpe_round_trip(spark: SparkSession, folder: str, vocabulary: str | None = None) -> DataFrame:
     """Every text to ids and back."""
