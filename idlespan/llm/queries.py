@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from idlespan.llm import bpe, chat, exact_dedup, packing, simhash
+from idlespan.llm import bpe, chat, exact_dedup, packing, quality_rules, simhash
 from idlespan.llm.frames import picked
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -105,6 +105,15 @@ def op8_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
                         "component_id", "kept")
 
 
+@query()
+def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's counts, and whether it reads like those labelled good."""
+    good = table(spark, folder, "labels").where("quality = 1")
+    found = quality_rules.judged(table(spark, folder, "documents"), good)
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+                        "base_failed", "kept", "log_ratio")
+
+
 @query()
 def op10_packing(spark: SparkSession, folder: str, vocabulary: str | None = None) -> DataFrame:
     """Every document's tokens packed into sequences of at most 2048."""
