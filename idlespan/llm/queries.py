@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from idlespan.llm import bpe, chat, exact_dedup, packing, quality_rules, simhash
+from idlespan.llm import bpe, chat, exact_dedup, packing, quality_model, quality_rules, simhash
 from idlespan.llm.frames import picked
+from idlespan.llm.labelled import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -73,6 +74,20 @@ def op7_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 
 
+def _classified(spark: SparkSession, folder: str, module, threshold: float) -> DataFrame:
+    rows = picked(table(spark, folder, "documents"), doc_id="doc_id", text="text")
+    model = module.fit(rows, table(spark, folder, "labels"))
+    scored = quality_model.scored(rows, model).select(F.col("c0").alias("doc_id"), "score")
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
+                         (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+@query()
+def op2_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's quality score."""
+    return _classified(spark, folder, quality_model, 0.3)
+
+
 @query("""
 WITH texts AS (
   SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS text FROM documents),
