@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from idlespan.llm import bpe, chat, exact_dedup, packing, quality_model, quality_rules, simhash
+from idlespan.llm import bpe, chat, exact_dedup, packing, quality_model, quality_rules, simhash, toxicity
 from idlespan.llm.frames import picked
 from idlespan.llm.labelled import held_out
 
@@ -120,6 +120,12 @@ def op8_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
                         "component_id", "kept")
 
 
+@query()
+def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's toxicity score."""
+    return _classified(spark, folder, toxicity, 0.5)
+
+
 @query()
 def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     """Every document's counts, and whether it reads like those labelled good."""
