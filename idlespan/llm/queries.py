@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from idlespan.llm import bpe, chat, exact_dedup, packing, quality_model, quality_rules, simhash, toxicity
+from idlespan.llm import bpe, chat, exact_dedup, packing, quality_model, quality_rules, simhash, toxicity, warc
 from idlespan.llm.frames import picked
 from idlespan.llm.labelled import held_out
+from idlespan.session import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -74,6 +75,18 @@ def op7_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 
 
+@query()
+def op1_warc(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page written to archives and read back."""
+    path = shared_folder(spark) + "/archives"
+    warc.write_archives(table(spark, folder, "pages"), path)
+    found = warc.read_archives(spark, path).withColumn("checked", F.when(
+        F.col("problem").isNotNull(), F.raise_error(F.concat(F.lit("bad record in "), "archive", F.lit(": "), "problem"))))
+    return found.where("checked IS NULL").select(
+        warc.page_of("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+        warc.page_of("refers_to").alias("refers_to"))
+
+
 def _classified(spark: SparkSession, folder: str, module, threshold: float) -> DataFrame:
     rows = picked(table(spark, folder, "documents"), doc_id="doc_id", text="text")
     model = module.fit(rows, table(spark, folder, "labels"))
