@@ -8,10 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from idlespan.llm import bpe, chat, exact_dedup, packing, quality_model, quality_rules, simhash, toxicity, warc
+from idlespan.llm import bpe, chat, exact_dedup, packing, quality_model, quality_rules, simhash, token_counts, toxicity, warc
 from idlespan.llm.frames import picked
 from idlespan.llm.labelled import held_out
-from idlespan.session import shared_folder
+from idlespan.session import shared_folder, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -114,6 +114,37 @@ def op3_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(F.col("c0").alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256")
 
 
+@query("""
+WITH marked AS (
+  SELECT source, lang, text, len(list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda w: w <> '')) AS words,
+         coalesce(toxic, 0) = 1 AS gone, quality IS NOT NULL AND quality = 0 AS moved
+  FROM (SELECT doc_id, source, lang, coalesce(text, '') AS text FROM documents)
+  LEFT JOIN (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY doc_id) USING (doc_id)),
+counted AS (
+  SELECT source, lang, 'words-1' AS tokenizer, words AS n FROM marked WHERE NOT gone AND NOT moved
+  UNION ALL
+  SELECT source, lang, 'pieces-2', len(regexp_extract_all(text, '\p{L}+|[^\p{L}\x20\x09-\x0D]')) FROM marked
+  WHERE NOT gone AND moved)
+SELECT source, lang, tokenizer, count(*) AS documents, CAST(sum(n) AS BIGINT) AS tokens FROM counted GROUP BY ALL""")
+def op4_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents come; toxic ones go; of the rest, poor ones are counted anew by another tokenizer; two batches are replayed."""
+    rows = picked(table(spark, folder, "documents"), doc_id="doc_id", source="source", lang="lang", text="text")
+    said = table(spark, folder, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    counts = rows.select("doc_id", "source", "lang", F.lit("words-1").alias("tokenizer"),
+                         token_counts.words_in(F.col("text")).alias("n_tokens"),
+                         token_counts.pieces_in(F.col("text")).alias("pieces"))
+    counts = written(counts.join(said, "doc_id", "left"))
+    gone = counts.where("toxic = 1")
+    moved = counts.where("quality = 0 AND coalesce(toxic, 0) <> 1")
+    anew = moved.withColumns({"tokenizer": F.lit("pieces-2"), "n_tokens": F.col("pieces")})
+    rollup = token_counts.Rollup(spark, shared_folder(spark))
+    for name, changes in (("first", token_counts.inserted(counts)), ("toxic", token_counts.deleted(gone)),
+                          ("first", token_counts.inserted(counts)), ("poor", token_counts.revised(moved, anew)),
+                          ("toxic", token_counts.deleted(gone))):
+        rollup.commit(name, changes)
+    return rollup.totals()
+
+
 @query()
 def op5_bpe_round_trip(spark: SparkSession, folder: str, vocabulary: str | None = None) -> DataFrame:
     """Every text to ids and back."""
