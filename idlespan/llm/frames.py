@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Bytes of text that a Python worker looks at together.
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 6 << 20
 
 
 def place(df: DataFrame, name: str) -> int:
