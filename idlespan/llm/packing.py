@@ -8,6 +8,7 @@ by how scarce each is; what does not fit is cut.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -236,39 +237,57 @@ class WordEncoder:
     """Ids of texts as the tokenizers library gives them, for files whose pre-tokenizer never crosses ASCII white space.
 
     Every different word of a slice is encoded once, and a gather puts the texts
-    together.  Words of ASCII letters alone are one piece to the file's
-    normalizer and pre-tokenizer, which only make them lower case, so that their
-    merges are done here for all words together; all others go to the library.
+    together.  A run of Latin letters, and ASCII marks after it, are one piece each
+    to the file's normalizer and pre-tokenizer, which only make them lower case, so
+    the merges of such letters are done here for all words together; marks and all
+    other words go to the library.
     """
 
+    #: Letters with one lower-case form that are composed already.
+    LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+    #: ASCII marks but the apostrophe, which may begin a piece of its own.
+    MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+
     def __init__(self, file: str):
+        # One thread in a task, which has one core.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_str(file)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         self.merges = Merges(file)
 
-    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all words one after the other, and how many each has."""
-        plain = pc.match_substring_regex(words, f"^[A-Za-z]{{1,{LONG_WORD}}}$").to_numpy(zero_copy_only=False)
-        # Different cases of a word are one word here.
-        lower = pc.ascii_lower(words.filter(pa.array(plain))).dictionary_encode()
-        simple = lower.dictionary.cast(pa.large_binary())
+    def _letters(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        simple = words.cast(pa.large_binary())
         lengths = pc.binary_length(simple).to_numpy(zero_copy_only=False).astype(np.int64)
         parts = np.frombuffer(b"".join(simple.to_pylist()), dtype=np.uint8).astype(np.int64)
         if self.merges.mark:
             parts[np.cumsum(lengths) - 1] += 256
         ranks, owner = self.merges.merged_together(parts, np.repeat(np.arange(len(lengths)), lengths))
-        counts = np.bincount(owner, minlength=len(lengths))
+        return self.merges.ids[ranks], np.bincount(owner, minlength=len(lengths))
+
+    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words one after the other, and how many each has."""
+        marks = "".join(f"\\{c}" for c in self.MARKS)
+        plain = pc.match_substring_regex(
+            words, f"^[{self.LETTERS}]{{1,{LONG_WORD}}}[{marks}]{{0,{LONG_WORD}}}$").to_numpy(zero_copy_only=False)
+        known = words.filter(pa.array(plain))
+        # Different cases of a word are one word here.
+        heads = pc.utf8_lower(pc.utf8_rtrim(known, characters=self.MARKS)).dictionary_encode()
+        tails = pc.replace_substring_regex(known, f"^[{self.LETTERS}]+", "").dictionary_encode()
+        flat, counts = self._letters(heads.dictionary)
         encoded = [e.ids for e in self.tokenizer.encode_batch_fast(
-            words.filter(pa.array(~plain)).to_pylist(), add_special_tokens=False)]
-        more = np.array([len(ids) for ids in encoded], dtype=np.int64)
-        flat = np.concatenate([self.merges.ids[ranks], np.array([i for ids in encoded for i in ids], dtype=np.int32)])
-        counts = np.concatenate([counts, more])
+            tails.dictionary.to_pylist() + words.filter(pa.array(~plain)).to_pylist(), add_special_tokens=False)]
+        flat = np.concatenate([flat, np.array([i for ids in encoded for i in ids], dtype=np.int32)])
+        n_heads, n_tails = len(counts), len(tails.dictionary)
+        counts = np.concatenate([counts, np.array([len(ids) for ids in encoded], dtype=np.int64)])
         starts = np.cumsum(counts) - counts
-        which = np.empty(len(words), dtype=np.int64)
-        which[plain] = lower.indices.to_numpy(zero_copy_only=False)
-        which[~plain] = len(lengths) + np.arange(len(encoded))
-        return flat[ragged(starts[which], counts[which])], counts[which]
+        # Each word as two parts, the second empty for those of the library: one past the last has no ids.
+        starts, counts = np.append(starts, len(flat)), np.append(counts, 0)
+        which = np.full((len(words), 2), len(counts) - 1, dtype=np.int64)
+        which[plain, 0] = heads.indices.to_numpy(zero_copy_only=False)
+        which[plain, 1] = n_heads + tails.indices.to_numpy(zero_copy_only=False)
+        which[~plain, 0] = n_heads + n_tails + np.arange(int((~plain).sum()))
+        return flat[ragged(starts[which.ravel()], counts[which.ravel()])], counts[which].sum(axis=1)
 
     def __call__(self, column: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, each followed by ``end_id``, and how many each text has."""
