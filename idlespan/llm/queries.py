@@ -101,7 +101,7 @@ def op2_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return _classified(spark, folder, quality_model, 0.3)
 
 
-@query("""
+@query(r"""
 WITH texts AS (
   SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS text FROM documents),
 marked AS (SELECT doc_id, sha256(text) AS text_sha256, min(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size
@@ -114,7 +114,7 @@ def op3_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(F.col("c0").alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256")
 
 
-@query("""
+@query(r"""
 WITH marked AS (
   SELECT source, lang, text, len(list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda w: w <> '')) AS words,
          coalesce(toxic, 0) = 1 AS gone, quality IS NOT NULL AND quality = 0 AS moved
