@@ -2,7 +2,8 @@
 
 Each line item becomes a charge: its supplier is the resource, its quantity the
 number of hours.  Every other supplier is GCP (which has usage figures) or AWS.
-Some resources neither cost nor use anything during 1996.
+Some resources neither cost nor use anything during 1996; of these every other has
+no unused commitments.  Cloud Run is used far less than the other GCP services.
 """
 
 from __future__ import annotations
@@ -10,8 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_SERVICES = ("Compute Engine", "Amazon EC2", "Cloud SQL", "AWS Lambda", "Cloud Run", "Amazon S3")
-_TYPES = ("VM", "VM", "Database", "Function", "Container", "Storage")
+_SERVICES = ("Compute Engine", "Amazon EC2", "Cloud SQL", "AWS Lambda", "Cloud Run", "Amazon RDS")
+_TYPES = ("VM", "VM", "Database", "Function", "Container", "Database")
 _FREE_TEXTS = {1: "Free Tier allowance", 2: "Included with plan", 3: "Promotional credit",
                4: "$0.00 per request, no charge", 5: "Trial period"}
 
@@ -45,6 +46,7 @@ def charges(spark: SparkSession, folder: str) -> DataFrame:
     idle = (supplier % 10).isin(6, 7) & (F.year("l_shipdate") == 1996)
     gcp = supplier % 2 == 0
     measured = gcp & (F.col("l_linenumber") < 7)
+    light = supplier % 6 == 4
     returned = F.col("l_returnflag") == "R"
 
     def unless_idle(amount: Column) -> Column:
@@ -70,12 +72,14 @@ def charges(spark: SparkSession, folder: str) -> DataFrame:
         unless_idle(F.col("l_quantity")).alias("ConsumedQuantity"),
         F.lit("Hours").alias("ConsumedUnit"),
         F.when(idle, free_text).otherwise(F.concat(service, F.lit(" usage"))).alias("ChargeDescription"),
-        F.when(returned & (F.col("l_discount") >= 0.095), "Unused")
+        F.when(returned & (F.col("l_discount") >= 0.095) & (supplier % 10 != 7), "Unused")
         .when(returned, "Used").alias("CommitmentDiscountStatus"),
         F.when(returned, F.when(F.col("l_linenumber") % 2 == 0, "Reserved").otherwise("Savings Plan"))
         .alias("CommitmentDiscountType"),
-        F.when(measured, F.col("l_tax") * 11 + 0.01).alias("SimulatedCPUUsage"),
-        F.when(measured, F.col("l_discount") * 9 + 0.02).alias("SimulatedMemoryUsage"),
+        F.when(measured, F.when(light, F.col("l_tax") * 5 + 0.0137).otherwise(F.col("l_tax") * 11 + 0.01))
+        .alias("SimulatedCPUUsage"),
+        F.when(measured, F.when(light, F.col("l_discount") * 5 + 0.0237).otherwise(F.col("l_discount") * 9 + 0.02))
+        .alias("SimulatedMemoryUsage"),
     )
 
 
@@ -123,12 +127,14 @@ SELECT CASE WHEN l_suppkey % 2 = 0 THEN 'GCP' ELSE 'AWS' END AS ProviderName,
        CASE WHEN z THEN 0.0 ELSE l_quantity END AS ConsumedQuantity,
        'Hours' AS ConsumedUnit,
        CASE WHEN z THEN {_FREE_SQL} ELSE {_case("l_suppkey % 6", _SERVICES)} || ' usage' END AS ChargeDescription,
-       CASE WHEN l_returnflag = 'R' AND l_discount >= 0.095 THEN 'Unused'
+       CASE WHEN l_returnflag = 'R' AND l_discount >= 0.095 AND l_suppkey % 10 <> 7 THEN 'Unused'
             WHEN l_returnflag = 'R' THEN 'Used' END AS CommitmentDiscountStatus,
        CASE WHEN l_returnflag = 'R' AND l_linenumber % 2 = 0 THEN 'Reserved'
             WHEN l_returnflag = 'R' THEN 'Savings Plan' END AS CommitmentDiscountType,
-       CASE WHEN l_suppkey % 2 = 0 AND l_linenumber < 7 THEN l_tax * 11 + 0.01 END AS SimulatedCPUUsage,
-       CASE WHEN l_suppkey % 2 = 0 AND l_linenumber < 7 THEN l_discount * 9 + 0.02 END AS SimulatedMemoryUsage
+       CASE WHEN l_suppkey % 2 <> 0 OR l_linenumber >= 7 THEN NULL
+            WHEN l_suppkey % 6 = 4 THEN l_tax * 5 + 0.0137 ELSE l_tax * 11 + 0.01 END AS SimulatedCPUUsage,
+       CASE WHEN l_suppkey % 2 <> 0 OR l_linenumber >= 7 THEN NULL
+            WHEN l_suppkey % 6 = 4 THEN l_discount * 5 + 0.0237 ELSE l_discount * 9 + 0.02 END AS SimulatedMemoryUsage
 FROM (SELECT *, (l_suppkey % 10 IN (6, 7) AND year(l_shipdate) = 1996) AS z FROM lineitem) l
 JOIN supplier ON s_suppkey = l_suppkey
 JOIN nation ON s_nationkey = n_nationkey

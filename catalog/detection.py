@@ -175,29 +175,22 @@ def _(charges):
 def _estimated(charges):
     patterns = written(learning.learn_patterns(learning.clean_usage(charges)))
     aws = charges.filter(F.col("ProviderName") == "AWS")
-    return learning.attach_estimates(aws, learning.estimate_services(charges, patterns))
+    # Stored, so that its size is known and Spark need not shuffle the charges to join it.
+    return learning.attach_estimates(aws, written(learning.estimate_services(charges, patterns)))
 
 
-# The learned means of the test tables lie near 0.45, so the threshold is raised to split them.
-_SPLIT = 0.4495
-
-
-def _low_estimates(estimated):
-    return overprovisioned.low_estimates(estimated, _SPLIT, _SPLIT)
-
-
-@query("o7_estimate_based_detection", using("low_estimates", threshold=_SPLIT) + """
+@query("o7_estimate_based_detection", using("low_estimates") + """
 SELECT ResourceId, ServiceName, ChargePeriodStart, method, round(cpu_mean, 8) AS cpu_mean,
        round(memory_mean, 8) AS memory_mean, round(CPUWastePercent, 6) AS CPUWastePercent,
        round(MemoryWastePercent, 6) AS MemoryWastePercent, PotentialSavings FROM low_estimates""")
 def _(charges):
-    return rounded(_low_estimates(_estimated(charges)).select(
+    return rounded(overprovisioned.low_estimates(_estimated(charges)).select(
         "ResourceId", "ServiceName", "ChargePeriodStart", "method", "cpu_mean", "memory_mean",
         "CPUWastePercent", "MemoryWastePercent", "PotentialSavings"),
         cpu_mean=8, memory_mean=8, CPUWastePercent=6, MemoryWastePercent=6)
 
 
-@query("o8_estimate_based_summary", using("low_estimates", threshold=_SPLIT) + """
+@query("o8_estimate_based_summary", using("low_estimates") + """
 SELECT count(*) AS overprovisioned_count, round(avg(cpu_mean) * 100, 5) AS avg_cpu_usage,
        round(avg(memory_mean) * 100, 5) AS avg_memory_usage, round(avg(CPUWastePercent), 5) AS avg_cpu_waste,
        round(avg(MemoryWastePercent), 5) AS avg_memory_waste, round(avg(confidence), 6) AS avg_confidence,
@@ -213,7 +206,7 @@ SELECT count(*) AS overprovisioned_count, round(avg(cpu_mean) * 100, 5) AS avg_c
 FROM low_estimates""")
 def _(charges):
     estimated = _estimated(charges)
-    summary = overprovisioned.estimate_detection_summary(estimated, _low_estimates(estimated))
+    summary = overprovisioned.estimate_detection_summary(estimated, overprovisioned.low_estimates(estimated))
     return rounded(summary, avg_cpu_usage=5, avg_memory_usage=5, avg_cpu_waste=5, avg_memory_waste=5,
                    avg_confidence=6, total_potential_savings=2, yearly_savings=1, detection_rate=8)
 

@@ -23,8 +23,8 @@ def patterns_of(charges):
 
 
 def estimates_of(charges):
-    """Patterns are learned and stored once, then applied."""
-    return learning.estimate_services(charges, written(patterns_of(charges)))
+    """Patterns are learned and stored once, then applied; estimates are stored too, so that their size is known."""
+    return written(learning.estimate_services(charges, written(patterns_of(charges))))
 
 
 @query("i1_clean_usage", using("usage") + """

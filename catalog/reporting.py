@@ -148,16 +148,13 @@ def _(charges):
     return rounded(reports.usage_points(estimates_of(charges)), cpu_percent=6, memory_percent=6)
 
 
-_SPLIT = 0.4495
-
-
 def _low(charges):
     aws = charges_of_provider(charges)
     estimated = learning.attach_estimates(aws, estimates_of(charges))
-    return aws, overprovisioned.low_estimates(estimated, _SPLIT, _SPLIT)
+    return aws, overprovisioned.low_estimates(estimated)
 
 
-@query("r8_detected_and_normal", using("low_estimates", threshold=_SPLIT) + """
+@query("r8_detected_and_normal", using("low_estimates") + """
 SELECT 'Over-Provisioned' AS status, (SELECT count(*) FROM low_estimates) AS n
 UNION ALL SELECT 'Normal', (SELECT count(*) FROM aws_charges) - (SELECT count(*) FROM low_estimates)""")
 def _(charges):
@@ -165,14 +162,14 @@ def _(charges):
     return reports.detected_and_normal(total, low)
 
 
-@query("r8_detected_services", using("low_estimates", threshold=_SPLIT) + """
+@query("r8_detected_services", using("low_estimates") + """
 SELECT ServiceName, count(*) AS Count, round(count(*) / (SELECT count(*) FROM low_estimates) * 100, 8) AS Percent
 FROM low_estimates GROUP BY 1 ORDER BY Count DESC, ServiceName LIMIT 10""")
 def _(charges):
     return rounded(shares.top_values(_low(charges)[1], "ServiceName", 10), Percent=8)
 
 
-@query("r8_detected_by_method", using("low_estimates", threshold=_SPLIT) + """
+@query("r8_detected_by_method", using("low_estimates") + """
 SELECT method, count(*) AS Count, round(count(*) / sum(count(*)) OVER () * 100, 8) AS Percent
 FROM low_estimates GROUP BY 1""")
 def _(charges):

@@ -27,12 +27,19 @@ def clean_usage(charges: DataFrame, service: str = "ServiceName",
     rows = charges.select(F.col(service).alias("service_name"),
                           numbers.number(F.col(cpu)).alias("cpu"),
                           numbers.number(F.col(memory)).alias("memory"))
-    for metric in _METRICS:
-        known = rows.filter(F.col(metric).isNotNull())
-        scale = known.agg(F.when(F.max(metric) > 1.5, 100.0).otherwise(1.0)).scalar()
-        value = F.col(metric) / scale
-        rows = known.withColumn(metric, value).filter((F.col(metric) > 0) & (F.col(metric) <= 1))
-    return rows
+    share = lambda c: (c > 0) & (c <= 1)
+    # One pass: the memory maximum is taken for either scale of CPU, and the right one chosen.
+    highest = rows.agg(F.struct(
+        F.max("cpu").alias("cpu"),
+        F.max(F.when(share(F.col("cpu")), F.col("memory"))).alias("memory"),
+        F.max(F.when(share(F.col("cpu") / 100.0), F.col("memory"))).alias("memory_of_percent"))).scalar()
+    known = rows.filter(F.col("cpu").isNotNull() & F.col("memory").isNotNull()).withColumn("_high", highest)
+    percent = F.col("_high.cpu") > 1.5
+    memory_high = F.when(percent, F.col("_high.memory_of_percent")).otherwise(F.col("_high.memory"))
+    scaled = known.select(
+        "service_name", (F.col("cpu") / F.when(percent, 100.0).otherwise(1.0)).alias("cpu"),
+        (F.col("memory") / F.when(memory_high > 1.5, 100.0).otherwise(1.0)).alias("memory"))
+    return scaled.filter(share(F.col("cpu")) & share(F.col("memory")))
 
 
 def learn_patterns(usage: DataFrame) -> DataFrame:

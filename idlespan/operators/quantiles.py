@@ -2,9 +2,9 @@
 
 Spark's own exact ``percentile`` keeps every distinct value of a group in one
 buffer.  Here equal values are counted first, an approximate sketch cuts each
-group's distinct values into slices of similar size, and ranks are computed per
-(group, slice).  The sketch only decides how work is divided: results are exact
-whatever its error.
+group's distinct values into slices of similar size, and ranks are computed inside
+those slices that a wanted rank falls in.  The sketch only decides how work is
+divided: results are exact whatever its error.
 """
 
 from __future__ import annotations
@@ -44,15 +44,19 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str,
         *group, "_v", "_c", "_total",
         F.size(F.filter("_cuts", lambda cut: cut < F.col("_v"))).alias("_slice"))
 
-    ordered = Window.partitionBy(*group, "_slice").orderBy("_v")
-    ranked = sliced.withColumn("_through", F.sum("_c").over(ordered))
-    slices = sliced.groupBy(*group, "_slice").agg(F.sum("_c").alias("_held"))
+    slices = sliced.groupBy(*group, "_slice").agg(F.sum("_c").alias("_held"), F.max("_total").alias("_total"))
     by_slice = Window.partitionBy(*group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = slices.select(
-        *_renamed(group),
-        F.col("_slice").alias("_ks"),
-        F.coalesce(F.sum("_held").over(by_slice), F.lit(0)).alias("_offset"))
-    placed = ranked.join(offsets, [*same_group, F.col("_slice").eqNullSafe(F.col("_ks"))])
+    offsets = slices.withColumn("_offset", F.coalesce(F.sum("_held").over(by_slice), F.lit(0)))
+    wanted = F.lit(False)
+    for q in quantiles.values():
+        place = F.lit(float(q)) * (F.col("_total") - 1)
+        for rank in (F.floor(place), F.ceil(place)):
+            wanted = wanted | ((rank >= F.col("_offset")) & (rank < F.col("_offset") + F.col("_held")))
+    hit = offsets.filter(wanted).select(*_renamed(group), F.col("_slice").alias("_ks"), "_offset")
+    # Only rows of slices that hold a wanted rank are sorted.
+    ordered = Window.partitionBy(*group, "_slice").orderBy("_v")
+    placed = sliced.join(hit, [*same_group, F.col("_slice").eqNullSafe(F.col("_ks"))]).withColumn(
+        "_through", F.sum("_c").over(ordered))
 
     through = F.col("_offset") + F.col("_through")
     measures = []

@@ -6,9 +6,10 @@ There are two ways to the resource-hour rollup with the same result:
 
 ``resource_hours_of_charges`` starts from charges and expands late.  A charge is
 cut into at most one piece per calendar day, equal pieces are added up, and the
-pieces, not the hours, are shuffled; a daily charge then moves one or two rows
-over the network, not 24.  Rows end up partitioned by (ResourceId, UsageDate),
-which the streak operators reuse without another shuffle.  Because equal pieces
+pieces, not the hours, are shuffled (twice: to add equal ones up, and by day); a
+daily charge then moves one or two rows over the network, not 24.  With
+``keep_usage_date`` rows end up partitioned by (ResourceId, UsageDate), which the
+streak operators reuse without another shuffle.  Because equal pieces
 were added up first, a resource that holds a large share of all charges reaches
 a task only as its distinct pieces of one day.
 """
@@ -61,10 +62,13 @@ def resource_hours_of_charges(charges: DataFrame, distribute_cost: bool = True,
     # Pieces grow into up to 24 rows each after this shuffle, so its partitions must
     # not be merged by their size before; naming the number keeps them apart.
     partitions = int(charges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Streaks want a resource's day in one place; otherwise all keys may spread it, so that
+    # charges without a resource, or a day of one with very many services, meet in no single task.
+    layout = ["ResourceId"] if keep_usage_date else keys
     distinct_pieces = (
         pieces.groupBy(*keys, USAGE_DATE, "_first", "_length")
         .agg(F.count(F.lit(1)).alias("_rows"), *partial)
-        .repartition(partitions, "ResourceId", USAGE_DATE)
+        .repartition(partitions, *layout, USAGE_DATE)
     )
     hours = distinct_pieces.withColumn(
         "_hour", F.explode(F.sequence(F.lit(0), F.col("_length") - 1)))
@@ -123,12 +127,12 @@ def rollup_summary(rollup: DataFrame) -> DataFrame:
     ).withColumn("CompressionRatio", F.try_divide(F.col("InputRows"), F.col("GroupedRows")))
 
 
-def hourly_aggregate(rollup: DataFrame, ordered: bool = True) -> DataFrame:
+def hourly_aggregate(rollup: DataFrame, ordered: bool = False) -> DataFrame:
     """Cost and usage per hour, provider, resource and service.
 
     Usage is the plain mean of the rollup's means; ``RecordCount`` ignores rows
-    without a resource.  ``ordered=False`` skips the final global sort for callers
-    that aggregate further.
+    without a resource.  ``ordered`` sorts the whole result by all keys, which costs
+    more than the aggregate itself.
     """
     present = rollup.columns
     keys = ["HourlyTimestamp", "ProviderName", "ResourceId", "ServiceName",
@@ -140,7 +144,7 @@ def hourly_aggregate(rollup: DataFrame, ordered: bool = True) -> DataFrame:
         measures.append(numbers.sum_or_zero(F.col("TotalConsumedQuantity"))
                         .alias("TotalConsumedQuantity"))
     grouped = rollup.groupBy(*keys).agg(*measures).drop(USAGE_DATE)
-    return grouped.orderBy("HourlyTimestamp", "ProviderName", "ResourceId") if ordered else grouped
+    return grouped.orderBy(*[k for k in keys if k != USAGE_DATE]) if ordered else grouped
 
 
 def hourly_summary_totals(hourly: DataFrame) -> DataFrame:

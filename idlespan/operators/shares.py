@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from idlespan.functions import numbers
@@ -11,11 +11,10 @@ from idlespan.functions import numbers
 def value_counts(df: DataFrame, column: str) -> DataFrame:
     """Rows per value with their share; nulls are not counted in rows, but in the share's base.
 
-    The window runs over one row per value, so this is meant for names (services,
-    types, methods); ``top_values`` serves columns of any cardinality.
+    The total is a one-row aggregate of the counts, so a column of any cardinality will do.
     """
     grouped = df.groupBy(column).agg(F.count(F.lit(1)).alias("Count"))
-    total = F.sum("Count").over(Window.partitionBy())
+    total = grouped.agg(F.sum("Count")).scalar()
     return (
         grouped.withColumn("Percent", F.col("Count") / total * 100.0)
         .filter(F.col(column).isNotNull())
@@ -36,7 +35,7 @@ def top_values(df: DataFrame, column: str, n: int) -> DataFrame:
 def cost_share(df: DataFrame, key: str, cost: str) -> DataFrame:
     """Cost per key and its share of all cost (0 when there is none)."""
     grouped = df.groupBy(key).agg(numbers.sum_or_zero(F.col(cost)).alias("TotalCost"))
-    total = F.sum("TotalCost").over(Window.partitionBy())
+    total = grouped.agg(F.sum("TotalCost")).scalar()
     return grouped.withColumn("CostPercent", numbers.share_percent(F.col("TotalCost"), total))
 
 
@@ -55,8 +54,5 @@ def count_and_waste(df: DataFrame, key: str, waste: str = "WastedCost") -> DataF
     """Resources and waste per key, each with its share."""
     grouped = df.filter(F.col(key).isNotNull()).groupBy(key).agg(
         F.count("ResourceId").alias("Count"), numbers.sum_or_zero(F.col(waste)).alias("Cost"))
-    everything = Window.partitionBy()
     return grouped.withColumns({
-        "CountPercent": numbers.share_percent(F.col("Count"), F.sum("Count").over(everything)),
-        "CostPercent": numbers.share_percent(F.col("Cost"), F.sum("Cost").over(everything)),
-    })
+        f"{c}Percent": numbers.share_percent(F.col(c), grouped.agg(F.sum(c)).scalar()) for c in ("Count", "Cost")})

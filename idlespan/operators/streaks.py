@@ -28,9 +28,12 @@ _TIE_BREAKERS = ("BillingAccountId", "ServiceName", "ResourceType", "CommitmentD
 
 def time_order(df: DataFrame, time: str = "HourlyTimestamp") -> list[Column]:
     """A total order of a resource's rows: time, then names (null as empty), then cost."""
-    names = [F.coalesce(F.col(c), F.lit("")) for c in _TIE_BREAKERS if c in df.columns]
     costs = [F.col(c) for c in ("TotalHourlyCost",) if c in df.columns]
-    return [F.col(time), *names, *costs]
+    return [F.col(time), *_names(df).values(), *costs]
+
+
+def _names(df: DataFrame) -> dict[str, Column]:
+    return {f"_o_{c}": F.coalesce(F.col(c), F.lit("")) for c in _TIE_BREAKERS if c in df.columns}
 
 
 def longest_runs(
@@ -61,7 +64,10 @@ def _block_summaries(rows, flags, key, time, means, keep_last, gap_aware) -> Dat
     # blocks apart there.  Blocks are still told apart by their key and day.
     rows = rows.withColumn("_block", F.xxhash64(key, USAGE_DATE))
     block = ["_block", key, USAGE_DATE]
-    in_block = Window.partitionBy(*block).orderBy(*time_order(rows, time))
+    # Names to order by are columns of their own: windows over the same columns share one sort.
+    order = [*_names(rows), *[c for c in ("TotalHourlyCost",) if c in rows.columns]]
+    rows = rows.withColumns(_names(rows))
+    in_block = Window.partitionBy(*block).orderBy(time, *order)
     so_far = in_block.rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
     marked = rows.select(
@@ -69,7 +75,7 @@ def _block_summaries(rows, flags, key, time, means, keep_last, gap_aware) -> Dat
         F.row_number().over(in_block).alias("_n"),
         *([F.lead(F.lit(1)).over(in_block).isNull().alias("_is_last")] if keep_last else []),
         *([F.lag(time).over(in_block).alias("_previous")] if gap_aware else []),
-        *[c for c in time_order_columns(rows) if c not in (key, time, *means, *keep_last)],
+        *[c for c in order if c not in (*means, *keep_last)],
         *[flag.alias(f"_on_{name}") for name, flag in flags.items()],
     )
     position = F.col("_n")
@@ -101,10 +107,6 @@ def _block_summaries(rows, flags, key, time, means, keep_last, gap_aware) -> Dat
     return marked.groupBy(*block).agg(*measures).drop("_block")
 
 
-def time_order_columns(df: DataFrame) -> list[str]:
-    return [c for c in (*_TIE_BREAKERS, "TotalHourlyCost") if c in df.columns]
-
-
 def _join_blocks(blocks, flags, key, means, keep_last, gap_aware) -> DataFrame:
     by_day = Window.partitionBy(key).orderBy(USAGE_DATE)
     earlier = by_day.rowsBetween(Window.unboundedPreceding, -1)

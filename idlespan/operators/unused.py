@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from idlespan import fixed_values as fixed
 from idlespan.functions import numbers, text
+from idlespan.operators.quantiles import exact_quantiles
 from idlespan.operators.rollup import USAGE_DATE
 from idlespan.operators.streaks import longest_runs
 from idlespan.operators.timegrid import merge_tables
@@ -148,17 +149,17 @@ def commitment_stats(commitments: DataFrame) -> DataFrame:
 
 
 def top_commitments(unused: DataFrame, n: int = 10) -> DataFrame:
-    """Commitment rows with the highest waste."""
+    """Commitment rows with the highest waste; ties by resource, then time, names and amounts."""
     return (
         unused.filter(F.col("UnusedReason") == "Commitment-Unused")
-        .orderBy(F.desc("WastedCost"), "ResourceId").limit(n))
+        .orderBy(F.desc("WastedCost"), "ResourceId", *_total_order(unused.columns)).limit(n))
 
 
 def zero_usage_sample(unused: DataFrame, n: int = 10) -> DataFrame:
-    """The first zero-usage rows by resource."""
+    """The first zero-usage rows by resource, then time, names and amounts."""
     return (
         unused.filter(F.col("UnusedReason") == "Zero-Cost-Zero-Usage")
-        .orderBy("ResourceId").limit(n))
+        .orderBy("ResourceId", *_total_order(unused.columns)).limit(n))
 
 
 def unused_stats(rollup: DataFrame, commitments: DataFrame, streaks: DataFrame) -> DataFrame:
@@ -181,8 +182,6 @@ def unused_stats(rollup: DataFrame, commitments: DataFrame, streaks: DataFrame)
 
 def free_charge_overview(charges: DataFrame) -> DataFrame:
     """One row: billed and free charges, and how much the free ones consumed."""
-    from idlespan.operators.quantiles import exact_quantiles
-
     free = F.col("BilledCost") == 0
     quantity = F.when(free, F.col("ConsumedQuantity"))
     median = exact_quantiles(charges.filter(free), [], "ConsumedQuantity", {"m": 0.5}).scalar()

@@ -45,10 +45,12 @@ def estimated_low_usage(learned_from: DataFrame, charges: DataFrame,
                         mapping=fixed.SERVICE_MAPPING) -> DataFrame:
     """Learn usage per service from one table and flag another table's charges by it.
 
-    The patterns, one row per service, are written to the shared folder: a job runs.
+    Patterns and estimates, one row per service, are written to the shared folder:
+    jobs run.  Spark then knows how small the estimates are and joins them without
+    shuffling the charges, unless there are too many services to broadcast.
     """
     patterns = written(learning.learn_patterns(learning.clean_usage(learned_from)))
-    estimates = learning.estimate_services(charges, patterns, mapping)
+    estimates = written(learning.estimate_services(charges, patterns, mapping))
     return overprovisioned.low_estimates(learning.attach_estimates(charges, estimates))
 
 

@@ -32,18 +32,30 @@ def _local_root() -> str:
     return tempfile.mkdtemp(prefix="idlespan-")
 
 
+def _session_folder(spark: SparkSession, root: str) -> str:
+    """One folder for all that a session stores; it goes when the session's driver ends."""
+    context = spark.sparkContext
+    folder = f"{root.rstrip('/')}/idlespan-{context.applicationId}"
+    path = context._jvm.org.apache.hadoop.fs.Path(folder)
+    system = path.getFileSystem(context._jsc.hadoopConfiguration())
+    system.mkdirs(path)
+    system.deleteOnExit(path)
+    return folder
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """A fresh folder for this run below the shared folder the cluster names.
+    """A fresh folder below the shared folder the cluster names.
 
     ``spark.checkpoint.dir`` must name storage every executor can reach.  Only a
-    local session may go without it; it then gets a temporary folder.
+    local session may go without it; it then gets a temporary folder.  All folders
+    of a session are removed when its driver ends.
     """
     root = spark.conf.get(_CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(_CHECKPOINT_KEY)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError(f"set {_CHECKPOINT_KEY} to a folder all executors share")
         root = _local_root()
-    return f"{root.rstrip('/')}/idlespan-{uuid.uuid4().hex}"
+    return f"{_session_folder(spark, root)}/{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame) -> DataFrame:
