@@ -1,6 +1,6 @@
 """Features, splits, models and their measures (M operators).
 
-Queries that fit models have no SQL twin; the data work around the fit has.
+Queries that fit models return what must hold of every fit, which SQL can say too.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from catalog.hours import rolled
 from catalog.registry import query, rounded
-from catalog.sql import IS_GCP, add, label, using
+from catalog.sql import IS_AWS, IS_GCP, add, label, using
 from idlespan import fixed_values as fixed
 from idlespan.operators import features, models, overprovisioned
 from idlespan.operators.conversion import of_cloud
@@ -185,7 +185,24 @@ def _(charges):
     return rounded(measured, accuracy=8, precision=8, recall=8, f1=8)
 
 
-# --- fitted models: no SQL twin -----------------------------------------------------
+# --- fitted models: SQL cannot fit them, so these queries return what must hold of every fit ------------
+
+_AWS_ROWS = using("rollup") + f"""
+SELECT ServiceName, count(*) AS n, count(*) AS as_expected FROM rollup WHERE {IS_AWS} GROUP BY 1"""
+
+
+def _expected(scored, condition):
+    """Rows per service, and how many of them are as they must be."""
+    return scored.groupBy("ServiceName").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(condition).alias("as_expected"))
+
+
+def _within(*names):
+    inside = F.lit(True)
+    for name in names:
+        inside = inside & F.col(name).between(0, 1)
+    return inside
+
 
 def _regression(charges, **options):
     table = _stored_rollup(charges)
@@ -194,37 +211,62 @@ def _regression(charges, **options):
     return trainer, fitted, rows, table
 
 
-@query("m7_forest_regression")
+@query("m7_forest_regression", _AWS_ROWS)
 def _(charges):
-    """AWS rows with usage predicted by random forests, flagged."""
+    """AWS rows with usage predicted by random forests: all in [0, 1], flagged if and only if low."""
     trainer, fitted, _, table = _regression(charges, **_SMALL_FOREST)
-    return overprovisioned.flag_predictions(trainer.predict(fitted, of_cloud(table, "AWS")))
+    flagged = overprovisioned.flag_predictions(trainer.predict(fitted, of_cloud(table, "AWS")))
+    low = (F.col("PredictedCPU") < 0.3) | (F.col("PredictedMemory") < 0.3)
+    return _expected(flagged, _within("PredictedCPU", "PredictedMemory") & (F.col("IsOverProvisioned") == low))
 
 
-@query("m8_boosted_regression")
+@query("m8_boosted_regression", _AWS_ROWS)
 def _(charges):
-    """AWS rows with usage predicted by boosted trees, kept within [0, 1]."""
+    """AWS rows with usage predicted by boosted trees: all kept within [0, 1]."""
     trainer, fitted, _, table = _regression(charges, boosting=True, **_SMALL_BOOSTING)
-    return trainer.predict(fitted, of_cloud(table, "AWS"))
+    return _expected(trainer.predict(fitted, of_cloud(table, "AWS")), _within("PredictedCPU", "PredictedMemory"))
 
 
-@query("m12_regression_metrics")
+_TEST_ROWS = using("train_rows") + """
+, n AS (SELECT count(*) AS n FROM train_rows)
+SELECT metric, CAST(n - floor(n * 0.8) AS BIGINT) AS samples, true AS as_expected
+FROM n, (VALUES ('cpu'), ('memory')) AS v(metric)"""
+
+
+@query("m12_regression_metrics", _TEST_ROWS)
 def _(charges):
+    """Every test row is measured; errors of usages lie in [0, 1], the mean one below the root of the squares."""
     _, fitted, rows, _ = _regression(charges, **_SMALL_FOREST)
-    return models.regression_metrics(fitted, rows)
+    return models.regression_metrics(fitted, rows).select("metric", F.col("samples").cast("bigint").alias("samples"), (
+        _within("mae", "rmse") & (F.col("mae") <= F.col("rmse")) & (F.col("r2") <= 1) & (F.col("mape") >= 0)).alias("as_expected"))
+
 
+_N_FEATURES = len(features.REGRESSION_CATEGORIES) + len(features.REGRESSION_NUMBERS)
 
-@query("m12_feature_importance")
+
+@query("m12_feature_importance", f"SELECT {_N_FEATURES}::BIGINT AS features, 1.0::DOUBLE AS total, 0::BIGINT AS negative")
 def _(charges):
+    """Importances of all features add up to one."""
     _, fitted, rows, _ = _regression(charges, **_SMALL_FOREST)
-    return models.feature_importance(
+    found = models.feature_importance(
         fitted["cpu"], [*features.REGRESSION_CATEGORIES, *features.REGRESSION_NUMBERS], rows)
+    return found.agg(F.count_distinct("feature").alias("features"), F.round(F.sum("importance"), 8).alias("total"),
+                     F.count_if(F.col("importance") < 0).alias("negative"))
 
 
-@query("m13_comparison_with_baseline")
+@query("m13_comparison_with_baseline", "SELECT * FROM (VALUES " + ", ".join(
+    f"('{m}', {fixed.FOREST_BASELINE[f'{m}_mae']}::DOUBLE, {fixed.FOREST_BASELINE[f'{m}_r2']}::DOUBLE, true)"
+    for m in ("cpu", "memory")) + ") AS v(metric, baseline_mae, baseline_r2, as_expected)")
 def _(charges):
+    """The recorded errors, and gains that are the differences to the measured ones."""
     _, fitted, rows, _ = _regression(charges, boosting=True, **_SMALL_BOOSTING)
-    return models.compare_with_baseline(models.regression_metrics(fitted, rows))
+    measured = written(models.regression_metrics(fitted, rows))
+    own = measured.select("metric", F.col("mae").alias("m"), F.col("r2").alias("r"))
+    same = lambda gain, there: F.abs(F.col(gain) - there) < 1e-12
+    return models.compare_with_baseline(measured).join(own, "metric").select(
+        "metric", "baseline_mae", "baseline_r2",
+        (same("mae_improvement", F.col("baseline_mae") - F.col("m"))
+         & same("r2_improvement", F.col("r") - F.col("baseline_r2"))).alias("as_expected"))
 
 
 def _classifier(charges, **options):
@@ -234,37 +276,55 @@ def _classifier(charges, **options):
     return trainer, fitted, rows, table
 
 
-@query("m10_forest_classification")
+@query("m10_forest_classification", _AWS_ROWS)
 def _(charges):
-    """AWS rows with predicted usage classes, flagged."""
+    """AWS rows with predicted usage classes: each one of the three, flagged if and only if one is 'Low'."""
     trainer, fitted, _, table = _classifier(charges, **_SMALL_FOREST)
-    return overprovisioned.flag_classes(trainer.predict(fitted, of_cloud(table, "AWS")))
+    flagged = overprovisioned.flag_classes(trainer.predict(fitted, of_cloud(table, "AWS")))
+    cpu, memory = F.col("PredictedCPUClass"), F.col("PredictedMemoryClass")
+    known = cpu.isin(*fixed.USAGE_CLASSES) & memory.isin(*fixed.USAGE_CLASSES)
+    return _expected(flagged, known & (F.col("IsOverProvisioned") == ((cpu == "Low") | (memory == "Low"))))
+
+
+_BOTH = "SELECT * FROM (VALUES ('cpu', true), ('memory', true)) AS v(metric, as_expected)"
 
 
-@query("m10_class_metrics")
+@query("m10_class_metrics", _BOTH)
 def _(charges):
+    """Accuracy in percent, and its lead over guessing."""
     _, fitted, rows, _ = _classifier(charges, **_SMALL_FOREST)
-    return models.compare_with_guessing(models.class_metrics(fitted, rows))
+    lead = F.col("accuracy_percent") - fixed.RANDOM_GUESS_ACCURACY_PERCENT
+    return models.compare_with_guessing(models.class_metrics(fitted, rows)).select("metric", (
+        F.col("accuracy_percent").between(0, 100) & (F.abs(F.col("improvement") - lead) < 1e-9)).alias("as_expected"))
 
 
-@query("m11_random_search")
+@query("m11_random_search", _BOTH)
 def _(charges):
     """Classifiers chosen from two random settings by cross-validation."""
     _, fitted, rows, _ = _classifier(charges, tuning_draws=2, space={"numTrees": (2, 3), "maxDepth": (2, 3)})
-    return models.class_metrics(fitted, rows)
+    measured = models.class_metrics(fitted, rows)
+    return measured.select("metric", _within("accuracy", "precision", "recall", "f1").alias("as_expected"))
 
 
-@query("o4_aws_model_streaks")
+@query("o4_aws_model_streaks", "SELECT 0::BIGINT AS wrong")
 def _(charges):
-    """AWS compute resources with long runs of rows a fitted model calls 'Low'."""
+    """AWS compute resources with long runs of rows a fitted model calls 'Low': each once, with a run of 24 or more."""
     trainer, fitted, _, table = _classifier(charges, **_SMALL_FOREST)
-    scored = trainer.predict(fitted, overprovisioned.compute_rows(of_cloud(table, "AWS")))
-    return overprovisioned.aws_low_streaks(scored)
+    rows = overprovisioned.compute_rows(of_cloud(table, "AWS"))
+    found = overprovisioned.aws_low_streaks(trainer.predict(fitted, rows))
+    runs = F.greatest(F.coalesce("ConsecutiveCPUHours", F.lit(0)), F.coalesce("ConsecutiveMemoryHours", F.lit(0)))
+    judged = found.join(rows.select("ResourceId", F.lit(True).alias("known")).distinct(), "ResourceId", "left")
+    per_resource = judged.groupBy("ResourceId").agg(
+        F.count(F.lit(1)).alias("n"), F.min(F.coalesce("known", F.lit(False)) & (runs >= 24)).alias("right"))
+    return per_resource.agg(F.count_if((F.col("n") > 1) | ~F.col("right")).alias("wrong"))
 
 
-@query("s13_model_store")
+@query("s13_model_store", _AWS_ROWS)
 def _(charges):
-    """Predictions of models that were saved and loaded."""
+    """Predictions of models that were saved and loaded equal those of the models themselves, row by row."""
     trainer, fitted, _, table = _regression(charges, **_SMALL_FOREST)
     loaded = load_models(save_models(fitted, shared_folder(charges.sparkSession)))
-    return trainer.predict(loaded, of_cloud(table, "AWS"))
+    own = trainer.predict(fitted, of_cloud(table, "AWS")).withColumnsRenamed(
+        {"PredictedCPU": "OwnCPU", "PredictedMemory": "OwnMemory"})
+    both = trainer.predict(loaded, own)
+    return _expected(both, (F.col("PredictedCPU") == F.col("OwnCPU")) & (F.col("PredictedMemory") == F.col("OwnMemory")))
