@@ -18,28 +18,36 @@ _ESTIMATED = ("mean", "std", "median", "min", "max")
 
 
 def clean_usage(charges: DataFrame, service: str = "ServiceName",
-                cpu: str = "SimulatedCPUUsage", memory: str = "SimulatedMemoryUsage") -> DataFrame:
+                cpu: str | None = "SimulatedCPUUsage", memory: str | None = "SimulatedMemoryUsage") -> DataFrame:
     """(service_name, cpu, memory) of rows with usage in (0, 1] for both.
 
     A column whose maximum is above 1.5 is taken to be in percent.  The memory
-    maximum is taken over rows that passed the CPU check.
+    maximum is taken over rows that passed the CPU check.  Without one of the
+    columns (None, as ``schema.find_usage_columns`` says) the other alone decides,
+    and that usage is null.
     """
-    rows = charges.select(F.col(service).alias("service_name"),
-                          numbers.number(F.col(cpu)).alias("cpu"),
-                          numbers.number(F.col(memory)).alias("memory"))
+    given = {"cpu": cpu, "memory": memory}
+    if not any(given.values()):
+        raise ValueError("neither a CPU nor a memory column")
+    rows = charges.select(F.col(service).alias("service_name"), *[
+        (numbers.number(F.col(c)) if c else F.lit(None).cast("double")).alias(m) for m, c in given.items()])
     share = lambda c: (c > 0) & (c <= 1)
     # One pass: the memory maximum is taken for either scale of CPU, and the right one chosen.
+    passed = (lambda c: share(c)) if cpu else (lambda c: F.lit(True))
     highest = rows.agg(F.struct(
         F.max("cpu").alias("cpu"),
-        F.max(F.when(share(F.col("cpu")), F.col("memory"))).alias("memory"),
-        F.max(F.when(share(F.col("cpu") / 100.0), F.col("memory"))).alias("memory_of_percent"))).scalar()
-    known = rows.filter(F.col("cpu").isNotNull() & F.col("memory").isNotNull()).withColumn("_high", highest)
+        F.max(F.when(passed(F.col("cpu")), F.col("memory"))).alias("memory"),
+        F.max(F.when(passed(F.col("cpu") / 100.0), F.col("memory"))).alias("memory_of_percent"))).scalar()
+    present = [m for m, c in given.items() if c]
+    known = rows.dropna(subset=present).withColumn("_high", highest)
     percent = F.col("_high.cpu") > 1.5
     memory_high = F.when(percent, F.col("_high.memory_of_percent")).otherwise(F.col("_high.memory"))
     scaled = known.select(
         "service_name", (F.col("cpu") / F.when(percent, 100.0).otherwise(1.0)).alias("cpu"),
         (F.col("memory") / F.when(memory_high > 1.5, 100.0).otherwise(1.0)).alias("memory"))
-    return scaled.filter(share(F.col("cpu")) & share(F.col("memory")))
+    for metric in present:
+        scaled = scaled.filter(share(F.col(metric)))
+    return scaled
 
 
 def learn_patterns(usage: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -55,13 +57,15 @@ def estimated_low_usage(learned_from: DataFrame, charges: DataFrame,
 
 
 def cloud_patterns(charges: DataFrame, over_provisioning: bool = False, unused_resources: bool = True,
-                   split_clouds: bool = True) -> DataFrame:
+                   split_clouds: bool = True, patterns: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
     """Charge-level findings per cloud; the flags choose the rules when planning.
 
-    A name that matches both clouds is examined in each of them.
+    ``patterns`` names the clouds and the words of their providers, the built-in ones
+    by default.  A name that matches several clouds is examined in each of them.
     """
     if split_clouds:
-        tables = {cloud: filter_cloud(charges, cloud) for cloud in fixed.CLOUD_FILTER_PATTERNS}
+        clouds = patterns or fixed.CLOUD_FILTER_PATTERNS
+        tables = {cloud: filter_cloud(charges, cloud, words) for cloud, words in clouds.items()}
     else:
         tables = {"ALL": charges}
     found = []

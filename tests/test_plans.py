@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from idlespan.operators import learning, rollup, shares, unused
+from idlespan.plans import detection
 from idlespan.session import shared_folder, written
 from tests.helpers import charge_row, charge_table, rollup_row, rollup_table
 
@@ -73,9 +74,23 @@ def test_percent_scales_in_one_pass(spark):
     df = spark.createDataFrame(rows, "ServiceName string, SimulatedCPUUsage double, SimulatedMemoryUsage double")
     # The row of 101 % CPU is no usage, so its memory does not make memory a percentage.
     assert sorted(map(tuple, learning.clean_usage(df).collect())) == [("s", 0.4, 0.5), ("s", 0.9, 0.25)]
+    # CPU alone: memory plays no part.
+    alone = learning.clean_usage(df, memory=None)
+    assert sorted(map(tuple, alone.collect())) == [("s", 0.4, None), ("s", 0.5, None), ("s", 0.9, None)]
+    pattern = learning.learn_patterns(alone).first()
+    assert (pattern.sample_count, pattern.cpu.q50, pattern.memory.q50) == (3, 0.5, None)
+    assert len(learning.clean_usage(df, cpu=None).collect()) == 4
+    with pytest.raises(ValueError):
+        learning.clean_usage(df, cpu=None, memory=None)
     assert len(set(re.findall(r"subquery#(\d+)", plan(learning.clean_usage(df))))) == 1
 
 
+def test_clouds_by_other_words(spark):
+    table = charge_table(spark, [charge_row(0, provider="Nimbus", quantity=0.0), charge_row(1, provider="AWS", quantity=0.0)])
+    found = detection.cloud_patterns(table, patterns={"NIM": ("nimbus",)})
+    assert [r.CloudProvider for r in found.collect()] == ["NIM"]
+
+
 def test_stored_tables_lie_in_one_folder_of_the_session(spark):
     first, second = shared_folder(spark), shared_folder(spark)
     assert first != second and first.rsplit("/", 1)[0] == second.rsplit("/", 1)[0]
