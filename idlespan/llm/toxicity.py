@@ -24,7 +24,7 @@ from idlespan.llm.labelled import log_loss, sampled, sigmoid
 from idlespan.session import written
 
 #: Labelled documents that are trained on at most, by hash of their ids.
-SAMPLE = 6000
+SAMPLE = 3000
 #: Words that the machine is trained on at most, of either class, and landmarks.
 TRAINING_WORDS, LANDMARKS = 8_000, 300
 #: Length of subsequences, the longest stretch one may cover, the weight of one more place covered.
@@ -33,6 +33,8 @@ LENGTH, SPAN, DECAY = 4, 6, 0.6
 BUCKETS = 1 << 20
 #: Characters of a word that are looked at together; longer words are looked at in overlapping stretches.
 LONG_WORD = 48
+#: Words whose subsequences are held in memory together.
+_TOGETHER = 1 << 13
 _STEPS = [(0, *more) for more in combinations(range(1, SPAN), LENGTH - 1)]
 _MIX = np.uint32(2654435761)
 
@@ -104,8 +106,11 @@ def _worth(words: list[str], table: np.ndarray, bias: float) -> np.ndarray:
         for begin in range(0, max(1, len(w) - LONG_WORD // 2), LONG_WORD // 2):
             cut.append(w[begin:begin + LONG_WORD])
             owner.append(i)
-    word, bucket, weight = subsequences(cut)
-    sums = np.bincount(word, weights=table[bucket] * weight, minlength=len(cut)) + bias
+    sums = np.empty(len(cut))
+    for begin in range(0, len(cut), _TOGETHER):
+        some = cut[begin:begin + _TOGETHER]
+        word, bucket, weight = subsequences(some)
+        sums[begin:begin + len(some)] = np.bincount(word, weights=table[bucket] * weight, minlength=len(some)) + bias
     best = np.full(len(words), -np.inf)
     np.maximum.at(best, np.array(owner), sums)
     return best
