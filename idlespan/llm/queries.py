@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from idlespan.llm import bpe, chat, exact_dedup, packing, quality_model, quality_rules, simhash, token_counts, toxicity, warc
+from idlespan.llm import (
+    bpe, chat, exact_dedup, negatives, packing, prefix_trie, quality_model, quality_rules, sharding, simhash, token_counts,
+    toxicity, warc)
 from idlespan.llm.frames import picked
 from idlespan.llm.labelled import held_out
 from idlespan.session import shared_folder, written
@@ -186,3 +188,86 @@ def op10_packing(spark: SparkSession, folder: str, vocabulary: str | None = None
     pieces = packing.pack_texts(rows, vocabulary or public_tokenizers.path(WORD_BPE))
     return pieces.select(F.col("c0").alias("doc_id"), "start", "length", F.crc32("piece_ids").alias("ids_crc32"),
                          "doc_tokens", "sequence_id", "offset")
+
+
+@query()
+def op11_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's shard of 40 and its place there; the rows are dealt out whole."""
+    rows = picked(table(spark, folder, "documents"), doc_id="doc_id", text="text")
+    dealt = sharding.sharded(rows, 40, store=False)
+    text = F.coalesce(F.col("c1"), F.lit(""))
+    return dealt.select(F.col("c0").alias("doc_id"), (F.octet_length(text) + 16).cast("long").alias("size"),
+                        F.crc32(text.cast("binary")).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot",
+                        F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query("""
+WITH turns AS (
+  SELECT conv_id, coalesce(text, '') AS text, length(coalesce(role, '')) || ':' || length(coalesce(text, '')) || ':'
+         || coalesce(role, '') || coalesce(text, '') AS whole,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS nth
+  FROM conversations WHERE conv_id IS NOT NULL),
+heads AS (
+  SELECT conv_id, conv_id - conv_id % 100 AS base,
+         xor(4294967295, list_reduce(
+           list_concat([4294967295::BIGINT], flatten([[ord(x)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]
+             FOR x IN string_split(CAST(conv_id AS VARCHAR), '')])),
+           lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, 3988292384 * (c & 1)) END)) % 6 AS h
+  FROM (SELECT DISTINCT conv_id FROM turns)),
+rebuilt AS (
+  SELECT heads.conv_id, 0 AS part, nth, whole, text FROM heads JOIN turns ON turns.conv_id = base AND nth <= h
+  UNION ALL
+  SELECT heads.conv_id, 1, nth, whole, text FROM heads JOIN turns ON turns.conv_id = heads.conv_id AND nth > h),
+sequences AS (
+  SELECT conv_id, coalesce(list(whole ORDER BY part, nth) FILTER (whole IS NOT NULL), []) AS said,
+         coalesce(list(length(text) ORDER BY part, nth) FILTER (whole IS NOT NULL), []) AS lens
+  FROM heads LEFT JOIN rebuilt USING (conv_id) GROUP BY conv_id),
+through AS (
+  SELECT conv_id, depth, len(said) AS ends, CASE WHEN depth = 0 THEN 0 ELSE lens[depth] END AS chars,
+         depth || ':' || sha256(array_to_string(said[1:depth], '')) AS node
+  FROM (SELECT *, unnest(range(0, len(said) + 1)) AS depth FROM sequences)),
+nodes AS (
+  SELECT node, any_value(depth) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(chars) AS chars,
+         sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends = depth), '')) AS ends_sha256
+  FROM through GROUP BY node),
+above AS (
+  SELECT nodes.node, nodes.depth, nodes.n_convs, nodes.chars, through.node AS top, through.depth AS held
+  FROM nodes JOIN through ON through.conv_id = nodes.conv_id AND through.depth <= nodes.depth),
+children AS (SELECT top AS node, count(*) AS n_children FROM above WHERE depth = held + 1 GROUP BY top),
+sums AS (
+  SELECT top AS node, count(*) FILTER (n_children IS NULL) AS n_leaves, sum((n_convs - 1) * chars) AS saved
+  FROM above LEFT JOIN children USING (node) GROUP BY top)
+SELECT nodes.conv_id, nodes.depth, up.conv_id AS parent_conv_id, nodes.n_convs, coalesce(n_children, 0) AS n_children,
+       n_leaves, CAST(saved AS BIGINT) AS saved_tokens, nodes.ends_sha256
+FROM nodes JOIN sums USING (node) LEFT JOIN children USING (node)
+LEFT JOIN above ON above.node = nodes.node AND above.held = nodes.depth - 1
+LEFT JOIN nodes up ON up.node = above.top""")
+def op12_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    """Every node of the trie of rebuilt conversations."""
+    nodes = prefix_trie.prefix_trie(prefix_trie.rebuilt(table(spark, folder, "conversations")))
+    return nodes.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
+@query("""
+WITH rows AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+   AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT a.vec_id AS anchor_id, r.vec_id AS other_id, a.label = r.label AS alike,
+         CAST(list_inner_product(a.v, r.v) AS BIGINT) AS score
+  FROM rows a, rows r WHERE a.vec_id % 50 = 0 AND r.vec_id <> a.vec_id),
+positives AS (
+  SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM scored WHERE alike
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5)
+SELECT anchor_id, positive_id,
+       CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id) AS INTEGER) AS rank,
+       other_id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN scored USING (anchor_id)
+WHERE NOT alike AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY rank <= 3""")
+def op13_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    """Hard negatives of every anchor, against all vectors."""
+    rows = negatives.whole_vectors(table(spark, folder, "embeddings"), relabel=(7, 10))
+    return negatives.hard_negatives(rows, F.col("vec_id") % 50 == 0)
