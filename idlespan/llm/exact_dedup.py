@@ -2,14 +2,13 @@
 
 A text's key is a 64-bit hash; a bucket holds all keys with the same leading
 bits.  The directory doubles, one bit more at a time, where a bucket is overfull.
-Tasks own ranges of keys; texts with equal keys are compared byte by byte and
-chained where they differ.  All of it is DataFrame work.
+Rows find their bucket through the directory.  Owner tasks hold ranges of buckets:
+texts that share a key are compared byte by byte, and different ones are chained.
+All of it is DataFrame work.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -17,8 +16,9 @@ from pyspark.sql import functions as F
 from idlespan.llm.frames import numbered, place
 from idlespan.session import shared_folder, written
 
-#: Keys of a bucket at most; some 100 MB of index.
-CAPACITY = 1 << 20
+#: Keys of a bucket at most, and buckets that a directory has at most if keys are spread evenly (about twice as many
+#: where they are not): a larger table has larger buckets, so its directory stays some 10 MB.
+CAPACITY, MOST_BUCKETS = 64, 1 << 18
 #: Bits by which the directory's histogram is finer than the average bucket asks for.
 _FINER = 6
 
@@ -36,15 +36,17 @@ def _leading(key: Column, bits: int | Column) -> Column:
         "shiftrightunsigned", key, F.lit(64) - bits))
 
 
-def directory(keys: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """(depth, leading) of the buckets for ``keys`` (each ``key`` once): parts of at most ``capacity`` keys.
+def directory(keys: DataFrame, capacity: int | None = None) -> DataFrame:
+    """(depth, leading, low) of the buckets for ``keys`` (each ``key`` once): parts of at most ``capacity`` keys.
 
     A bucket is a run of ``depth`` leading bits that fits while the run one bit
     shorter does not: what doubling the directory until nothing is overfull leads
-    to.  Keys are counted by their leading bits, finer only where needed, so what
-    is counted is far smaller than the keys.
+    to.  ``low`` is the bucket's first key, by which owners hold ranges of buckets.
+    Keys are counted by their leading bits, finer only where needed, so what is
+    counted is far smaller than the keys.
     """
     total = keys.count()
+    capacity = capacity or max(CAPACITY, total // MOST_BUCKETS)
     fine = min(64, max(0, (total // capacity).bit_length()) + _FINER)
     begin, found, open_keys = 0, [], keys
     while True:
@@ -69,36 +71,40 @@ def directory(keys: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     buckets = found[0]
     for more in found[1:]:
         buckets = buckets.unionByName(more)
-    return written(buckets.withColumn("bucket", F.concat_ws("-", "depth", F.hex("leading"))))
+    return written(buckets.withColumn("low", F.call_function("shiftleft", "leading", F.lit(64) - F.col("depth"))))
+
 
+def placed(rows: DataFrame, buckets: DataFrame) -> DataFrame:
+    """``rows`` with ``low``, the bucket that the directory names for their ``key``; rows of no bucket are lost.
 
-def _placed(entries: DataFrame, buckets: DataFrame) -> DataFrame:
-    """``entries`` with the bucket of their key; depths differ little, so each key is looked up a few times."""
+    A key is looked up once for each depth that occurs, few of which there are.
+    """
     depths = sorted(r.depth for r in buckets.select("depth").distinct().collect())  # 65 at most
     tried = F.array(*[F.struct(F.lit(d).alias("depth"), _leading(F.col("key"), d).alias("leading")) for d in depths])
-    return entries.withColumn("_at", F.explode(tried)).join(
-        buckets.select(F.struct("depth", "leading").alias("_at"), "bucket"), "_at").drop("_at")
+    return rows.withColumn("_at", F.explode(tried)).join(
+        buckets.select(F.struct("depth", "leading").alias("_at"), "low"), "_at").drop("_at")
 
 
-def build_index(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """The index of ``rows`` (key, mark, head, and anything else), stored by bucket in the shared folder.
+def build_index(rows: DataFrame, buckets: DataFrame) -> DataFrame:
+    """The index of ``rows`` (key, said, head, and anything else), stored by ranges of buckets in the shared folder.
 
-    One entry for each (key, mark): ``bucket, key, chain, mark, head, n``, where
-    ``head`` is the least of the rows' heads, ``n`` their number, and ``chain`` the
-    entry's place among those with the same key.
+    One entry for each different text (``said``): ``low, key, chain, links, head, n``,
+    where ``head`` is the least of the rows' heads, ``n`` their number, ``chain`` the
+    entry's place among the ``links`` texts that have its key.  Copies are counted
+    in each task before bytes are moved and compared; owners get no texts.
     """
-    entries = written(rows.groupBy("key", "mark").agg(F.min("head").alias("head"), F.count(F.lit(1)).alias("n")))
-    buckets = directory(entries.select("key").distinct(), capacity)
-    owned = _placed(entries, buckets).repartitionByRange("bucket", "key")
-    chained = owned.withColumn("chain", F.row_number().over(W.partitionBy("bucket", "key").orderBy("head")) - 1)
+    entries = placed(rows, buckets).groupBy("low", "key", "said").agg(F.min("head").alias("head"), F.count(F.lit(1)).alias("n"))
+    owned = entries.drop("said").repartitionByRange("low", "key")
+    chain = W.partitionBy("low", "key")
+    chained = owned.withColumns({
+        "chain": F.row_number().over(chain.orderBy("head")) - 1, "links": F.count(F.lit(1)).over(chain)})
     path = shared_folder(rows.sparkSession) + "/index"
-    chained.write.partitionBy("bucket").parquet(path)
+    chained.write.parquet(path)
     return rows.sparkSession.read.schema(chained.schema).parquet(path)
 
 
 def exact_duplicates(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", keep_text: bool = True,
-                     capacity: int = CAPACITY, key_bits: int = 64,
-                     mark: Callable[[Column], Column] = lambda t: F.sha2(t.cast("binary"), 256)) -> DataFrame:
+                     capacity: int | None = None, key_bits: int = 64) -> DataFrame:
     """``df``'s rows by position (c0, ...; the text only if ``keep_text``), with
     ``row_id, text_sha256, keep_id, group_size, kept``.
 
@@ -107,42 +113,34 @@ def exact_duplicates(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     doc_id stays (null ids come last, of repeated rows the first by ``row_id``).
     An empty table gives an empty table; other columns pass through.
 
-    Runs jobs.  Rows with key and digest go to the shared folder.  Texts are
-    shuffled once, by key, each once per task, to compare bytes.  A group of copies
-    of any size is one entry per task before it is shuffled.  Where texts differ
-    but not their key and digest (``mark``), rows are told apart by text.
+    Runs jobs.  Rows with key and text go to the shared folder.  Texts are shuffled
+    once, each once per task, to compare bytes, so a group of copies of any size is
+    one entry per task.  Rows then look up their bucket in the directory and their
+    entry in the bucket; a key with several texts is settled by comparing the row
+    with the texts of its chain.  ``capacity`` is the keys of a bucket at most;
+    ``key_bits`` shortens keys, for tests.
     """
     at, said = f"c{place(df, doc_id)}", f"c{place(df, text)}"
     mask = (1 << 64) - (1 << (64 - key_bits))
-    key = F.xxhash64("_text").bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask).cast("long"))
-
-    def keyed(source):
-        return source.withColumn("_text", normal(F.col(said))).withColumns({"key": key, "mark": mark(F.col("_text"))})
-
+    own = numbered(df).withColumn("said", normal(F.col(said))).withColumns({
+        "key": F.xxhash64("said").bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask).cast("long")),
+        "text_sha256": F.sha2(F.col("said").cast("binary"), 256), "row_id": F.monotonically_increasing_id()})
+    # One form of the text is stored: its own if that is asked for.
+    rows = written(own.drop("said" if keep_text else said))
+    texts = rows.withColumn("said", normal(F.col(said))) if keep_text else rows
     head = F.struct(F.col(at).isNull().alias("last"), F.col(at).alias("doc_id"), "row_id")
-    own = keyed(numbered(df)).withColumns({
-        "text_sha256": F.sha2(F.col("_text").cast("binary"), 256), "row_id": F.monotonically_increasing_id()})
-    rows = written(own.drop("_text", *([] if keep_text else [said])))
-    index = build_index(rows.withColumn("head", head), capacity)
-
-    # Bytes are compared here: equal keys and marks must mean equal texts, or else the chain parts there.
-    seen = keyed(rows.drop("key", "mark") if keep_text else numbered(df)).select("key", "mark", "_text")
-    unlike = written(seen.groupBy("key", "mark", "_text").agg(F.lit(1).alias("one"))
-                     .groupBy("key", "mark").agg(F.count("one").alias("texts")).where("texts > 1").select("key", "mark"))
-    some = not unlike.isEmpty()
-    if some and not keep_text:
-        found = exact_duplicates(df, doc_id=doc_id, text=text, capacity=capacity, key_bits=key_bits, mark=mark)
-        return found.drop(said)
-    plain = rows.join(unlike, ["key", "mark"], "left_anti") if some else rows
-    out = _decided(plain.join(index.select("key", "mark", F.col("head").alias("_head"), "n"), ["key", "mark"]), rows, at)
-    if some:
-        apart = rows.join(unlike, ["key", "mark"], "left_semi").withColumn("_text", normal(F.col(said)))
-        heads = apart.groupBy("key", "mark", "_text").agg(F.min(head).alias("_head"), F.count(F.lit(1)).alias("n"))
-        out = out.unionByName(_decided(apart.join(heads, ["key", "mark", "_text"]), rows, at))
-    return out
-
-
-def _decided(joined: DataFrame, rows: DataFrame, at: str) -> DataFrame:
-    passed = [c for c in rows.columns if c not in ("key", "mark", "row_id", "text_sha256")]
-    return joined.select(*passed, "row_id", "text_sha256", F.col("_head.doc_id").alias("keep_id"),
-                         F.col("n").alias("group_size"), (F.col("row_id") == F.col("_head.row_id")).alias("kept"))
+    buckets = directory(rows.select("key").distinct(), capacity)
+    index = build_index(texts.select("key", "said", head.alias("head")), buckets)
+
+    passed = [c for c in numbered(df).columns if keep_text or c != said]
+    out = [*passed, "row_id", "text_sha256", F.col("head.doc_id").alias("keep_id"), F.col("n").alias("group_size"),
+           (F.col("row_id") == F.col("head.row_id")).alias("kept")]
+    single = index.where("links = 1").select("low", "key", "head", "n")
+    found = placed(rows.drop("said"), buckets).join(single, ["low", "key"]).select(*out)
+    chains = index.where("links > 1")
+    if chains.isEmpty():
+        return found
+    # Along a chain, the row's bytes are compared with those of each entry's first row.
+    first = texts.select(F.col("row_id").alias("_row"), "said")
+    spelled = chains.join(first, F.col("head.row_id") == F.col("_row")).select("low", "key", "said", "head", "n")
+    return found.unionByName(placed(texts, buckets).join(spelled, ["low", "key", "said"]).select(*out))

@@ -53,24 +53,33 @@ said AS (
          string_agg('<|im_start|>' || replace(replace(replace(role, '\\', '\\\\'), '<|', '<\\|'), chr(10), '<\\n') || chr(10)
                     || replace(replace(text, '\\', '\\\\'), '<|', '<\\|') || '<|im_end|>' || chr(10), ''
                     ORDER BY turn NULLS FIRST, role, text) AS formatted
+  FROM turns GROUP BY conv_id),
+states AS (
+  SELECT conv_id, list_reduce(
+      list_concat(['start'], list(role ORDER BY turn NULLS FIRST, role, text)),
+      lambda state, role: CASE
+        WHEN role = 'system' AND state = 'start' THEN 'instructed'
+        WHEN role = 'user' AND state IN ('start', 'instructed', 'answered') THEN 'asked'
+        WHEN role = 'assistant' AND state = 'asked' THEN 'answered'
+        ELSE 'rejected' END) AS end_state
   FROM turns GROUP BY conv_id)
 SELECT conv_id, n_turns, sha256(whole) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256,
-       length(formatted) AS formatted_chars
-FROM said""")
+       length(formatted) AS formatted_chars, end_state, end_state = 'answered' AS valid
+FROM said JOIN states USING (conv_id)""")
 def op7_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
-    """All conversations, and one that says the marks themselves, formatted and read back."""
+    """All conversations, and one that says the marks themselves: turn order judged, formatted, and read back."""
     turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
     trap = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
                                  F.element_at(F.array(F.lit("user"), F.lit("assistant")), F.col("id").cast("int") + 1)
                                  .alias("role"), F.lit(_TRAP).alias("text"))
     chats = chat.format_chats(turns.unionByName(trap))
-    read = chats.select("conv_id", "formatted", chat.read_turns(F.col("formatted")).alias("turns"),
+    read = chats.select("conv_id", "formatted", "end_state", "valid", chat.read_turns(F.col("formatted")).alias("turns"),
                         chat.masked_text(F.col("segments")).alias("loss"))
     whole = F.array_join(F.transform("turns", lambda t: F.concat(t.role, F.lit("\n"), t.text, F.lit("\n"))), "")
     return read.select(
         "conv_id", F.size("turns").cast("long").alias("n_turns"), hexed(whole).alias("turns_sha256"),
         F.length("loss").cast("long").alias("loss_chars"), hexed(F.col("loss")).alias("loss_sha256"),
-        F.length("formatted").cast("long").alias("formatted_chars"))
+        F.length("formatted").cast("long").alias("formatted_chars"), "end_state", "valid")
 
 
 #: Vocabulary files of public tokenizers; give another path to read them elsewhere.

@@ -22,8 +22,8 @@ def groups_of(rows):
 
 
 @pytest.mark.parametrize("settings", [
-    {}, {"capacity": 2}, {"capacity": 2, "key_bits": 3, "mark": lambda t: F.lit(1)},
-    {"key_bits": 0, "mark": lambda t: F.lit(1), "keep_text": False}], ids=["plain", "small", "colliding", "one key"])
+    {}, {"capacity": 2}, {"capacity": 2, "key_bits": 3}, {"key_bits": 2, "capacity": 1, "keep_text": False},
+    {"key_bits": 0, "keep_text": False}], ids=["plain", "small", "colliding", "overfull", "one key"])
 def test_exact_duplicates(odd, settings):
     rows = exact_dedup.exact_duplicates(odd, **settings).select(
         "c0", "keep_id", "group_size", "kept", "text_sha256").collect()
@@ -43,10 +43,38 @@ def test_directory_splits_until_nothing_is_overfull(spark):
     keys = spark.range(3000).select(F.xxhash64("id").alias("key")).unionByName(
         spark.range(200).select(F.col("id").alias("key")))  # 200 keys that share 56 bits
     buckets = exact_dedup.directory(keys, 16)
-    placed = exact_dedup._placed(keys, buckets)
-    assert placed.count() == 3200
-    assert placed.groupBy("bucket").count().agg(F.max("count")).first()[0] <= 16
+    rows = exact_dedup.placed(keys, buckets)
+    assert rows.count() == 3200
+    assert rows.groupBy("low").count().agg(F.max("count")).first()[0] <= 16
     assert buckets.agg(F.max("depth")).first()[0] > 56
+    # Every key lies in its bucket's range of keys.
+    held = rows.join(buckets, "low").select("key", F.call_function("shiftrightunsigned", "key", F.lit(64) - F.col("depth")).alias("own"), "leading", "depth")
+    assert held.where("depth > 0 AND own <> leading").count() == 0
+
+
+def test_rows_are_found_through_the_directory(spark, monkeypatch):
+    """Several depths on some thousand texts; with a bucket taken out of the directory, or wrong ones, results are wrong."""
+    rows = spark.range(4000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id") % 3500).alias("text"))
+    seen = []
+    whole = exact_dedup.directory
+    monkeypatch.setattr(exact_dedup, "directory", lambda *a: seen.append(whole(*a)) or seen[-1])
+    made = exact_dedup.exact_duplicates(rows)
+    assert made.count() == 4000 and made.where("kept").count() == 3500
+    assert seen[0].count() > 12 and seen[0].select("depth").distinct().count() > 1
+    least = seen[0].agg(F.min("low")).first()[0]
+    monkeypatch.setattr(exact_dedup, "directory", lambda *a: whole(*a).where(F.col("low") != least))
+    assert exact_dedup.exact_duplicates(rows).count() < 4000
+    monkeypatch.setattr(exact_dedup, "directory", lambda *a: whole(*a).withColumn("leading", F.col("leading") + 1))
+    assert exact_dedup.exact_duplicates(rows).count() != 4000
+
+
+def test_index_entries_lie_in_ranges_of_buckets(spark):
+    rows = spark.range(3000).select(F.xxhash64("id").alias("key"), F.col("id").cast("string").alias("said"), F.struct(F.lit(False), "id", "id").alias("head"))
+    buckets = exact_dedup.directory(rows.select("key"), 16)
+    index = exact_dedup.build_index(rows, buckets)
+    files = index.groupBy(F.input_file_name().alias("file")).agg(F.min("low").alias("a"), F.max("low").alias("b")).orderBy("a").collect()
+    assert all(x.b <= y.a for x, y in zip(files, files[1:]))
+    assert index.count() == 3000 and index.where("chain <> 0 OR links <> 1 OR n <> 1").count() == 0
 
 
 def simhash_of(text):
