@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from idlespan.llm.frames import picked, ship
 from idlespan.session import written
 
-#: Turns of a subtree at most that a task peels by itself; larger subtrees are peeled depth by depth in Spark.
-SUBTREE_TURNS = 1 << 17
+#: Different sequences of a subtree at most that a task peels by itself; larger subtrees are peeled depth by depth in Spark.
+SUBTREE_ENDS = 1 << 9
 #: Turns of small subtrees that a task peels together.
 _TOGETHER = 1 << 16
 _ID = 16
@@ -206,7 +206,7 @@ def _digest_at(depth: int):
     return F.substring("path", (depth - 1) * _ID + 1, _ID) if depth else F.lit(_ROOT)
 
 
-def prefix_trie(sequences: DataFrame, *, subtree_turns: int = SUBTREE_TURNS) -> DataFrame:
+def prefix_trie(sequences: DataFrame, *, subtree_ends: int = SUBTREE_ENDS) -> DataFrame:
     """One row per node: ``conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256``.
 
     ``sequences`` are those of ``rebuilt``, each id once.  ``conv_id`` is the least
@@ -217,7 +217,7 @@ def prefix_trie(sequences: DataFrame, *, subtree_turns: int = SUBTREE_TURNS) ->
 
     Runs jobs.  Equal sequences are shuffled with their ids once, sorted, and hashed
     as they stream by: a task holds none of an end's ids.  Subtrees of at most
-    ``subtree_turns`` turns are peeled by tasks; above the least depth (doubling from
+    ``subtree_ends`` sequences are peeled by tasks; above the least depth (doubling from
     1) at which all are that small, every depth is one aggregate with a map-side
     part, stored in the shared folder before the next.
     """
@@ -225,11 +225,10 @@ def prefix_trie(sequences: DataFrame, *, subtree_turns: int = SUBTREE_TURNS) ->
     ship(spark)
     ends = written(sequences.repartition("path").sortWithinPartitions("path", "conv_id").select(
         "conv_id", "path", "lens").mapInArrow(_ends, "path binary, lens array<int>, conv_id long, n long, sha string"))
-    deep = ends.select("path", F.size("lens").alias("turns"))
     top = 1
     while True:
-        most = deep.where(F.col("turns") >= top).groupBy(_digest_at(top)).agg(F.sum("turns").alias("n")).agg(F.max("n")).first()[0]
-        if most is None or most <= subtree_turns:
+        most = ends.where(F.size("lens") >= top).groupBy(_digest_at(top)).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+        if most is None or most <= subtree_ends:
             break
         top *= 2
     bottom = written(
