@@ -43,10 +43,10 @@ def _(charges):
 
 @query("t2_parse_and_drop", using("charges") + """
 SELECT ResourceId, ChargePeriodStart, ChargePeriodEnd, BilledCost FROM charges
-WHERE ServiceName <> 'Cloud SQL' AND ServiceName <> 'Amazon S3'""")
+WHERE ServiceName <> 'Cloud SQL' AND ServiceName <> 'Amazon RDS'""")
 def _(charges):
     """Text periods and costs; those of one service each are no time and no number."""
-    no_time, no_cost = F.col("ServiceName") == "Cloud SQL", F.col("ServiceName") == "Amazon S3"
+    no_time, no_cost = F.col("ServiceName") == "Cloud SQL", F.col("ServiceName") == "Amazon RDS"
     text = charges.select(
         "ResourceId",
         F.when(no_time, "soon").otherwise(F.date_format("ChargePeriodStart", "yyyy-MM-dd HH:mm:ss"))
@@ -90,15 +90,15 @@ def _(charges):
 
 # Cents split over 8, 16 or 32 hours lie exactly between two rounded values, where the
 # order of a sum decides; a small shift moves them off.
-_SHIFT = 1.3717421e-6
+TIE_SHIFT = 1.3717421e-6
 
 
 @query("t6_hourly_summary", using("expanded") + f"""
-SELECT HourlyTimestamp, count(*) AS RecordCount, round(sum(HourlyCost) + {_SHIFT}, 4) AS TotalCost,
-       round(avg(HourlyCost) + {_SHIFT}, 4) AS AvgCost FROM expanded GROUP BY 1""")
+SELECT HourlyTimestamp, count(*) AS RecordCount, round(sum(HourlyCost) + {TIE_SHIFT}, 4) AS TotalCost,
+       round(avg(HourlyCost) + {TIE_SHIFT}, 4) AS AvgCost FROM expanded GROUP BY 1""")
 def _(charges):
     summary = timegrid.hourly_summary(charges)
-    shifted = summary.withColumns({c: F.col(c) + _SHIFT for c in ("TotalCost", "AvgCost")})
+    shifted = summary.withColumns({c: F.col(c) + TIE_SHIFT for c in ("TotalCost", "AvgCost")})
     return rounded(shifted, TotalCost=4, AvgCost=4)
 
 

@@ -1,10 +1,10 @@
 """Exact quantiles without gathering a group in one task.
 
 Spark's own exact ``percentile`` keeps every distinct value of a group in one
-buffer.  Here equal values are counted first, an approximate sketch cuts each
-group's distinct values into slices of similar size, and ranks are computed inside
-those slices that a wanted rank falls in.  The sketch only decides how work is
-divided: results are exact whatever its error.
+buffer.  Here equal values are counted first.  A histogram by a value's leading
+binary digits says which of its ranges hold a wanted rank; only these are looked
+at again, with finer ranges; and only the finest ranges that hold a rank are
+sorted.  Ranges are the same for every group, so rows need no table of limits.
 """
 
 from __future__ import annotations
@@ -14,7 +14,10 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_SLICES = 64
+from idlespan.functions.numbers import order_code
+
+#: Bits cut off a value's code: 256 ranges per power of two, then 65,536 in each of those that are looked into.
+_COARSE, _FINE = 43, 27
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str,
@@ -22,57 +25,67 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str,
     """Linearly interpolated quantiles of ``value`` per group, one column each.
 
     Null values are ignored; a group without values has no row.  ``weight`` names an
-    integer column saying how often a row counts.
+    integer column saying how often a row counts.  Rows are shuffled once, by group
+    and value, each different value of a task once.
     """
-    group = list(keys)
-    rows = df.filter(F.col(value).isNotNull())
-    times = F.sum(weight) if weight else F.count(F.lit(1))
-    counted = rows.groupBy(*group, F.col(value).alias("_v")).agg(times.alias("_c"))
-
-    fractions = [i / _SLICES for i in range(1, _SLICES)]
-    cuts = counted.groupBy(*group).agg(
-        F.percentile_approx("_v", fractions, 1000).alias("_cuts"),
-        F.sum("_c").alias("_total"))
-    same_group = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(group)]
-    if group:
-        cuts = cuts.select(*_renamed(group), "_cuts", "_total")
-        with_cuts = counted.join(cuts, same_group)
-    else:
-        with_cuts = counted.withColumn("_s", cuts.select(F.struct("_cuts", "_total")).scalar())
-        with_cuts = with_cuts.select("_v", "_c", "_s.*")
-    sliced = with_cuts.select(
-        *group, "_v", "_c", "_total",
-        F.size(F.filter("_cuts", lambda cut: cut < F.col("_v"))).alias("_slice"))
-
-    slices = sliced.groupBy(*group, "_slice").agg(F.sum("_c").alias("_held"), F.max("_total").alias("_total"))
-    by_slice = Window.partitionBy(*group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = slices.withColumn("_offset", F.coalesce(F.sum("_held").over(by_slice), F.lit(0)))
-    wanted = F.lit(False)
-    for q in quantiles.values():
-        place = F.lit(float(q)) * (F.col("_total") - 1)
-        for rank in (F.floor(place), F.ceil(place)):
-            wanted = wanted | ((rank >= F.col("_offset")) & (rank < F.col("_offset") + F.col("_held")))
-    hit = offsets.filter(wanted).select(*_renamed(group), F.col("_slice").alias("_ks"), "_offset")
-    # Only rows of slices that hold a wanted rank are sorted.
-    ordered = Window.partitionBy(*group, "_slice").orderBy("_v")
-    placed = sliced.join(hit, [*same_group, F.col("_slice").eqNullSafe(F.col("_ks"))]).withColumn(
-        "_through", F.sum("_c").over(ordered))
+    group = [f"_k{i}" for i in range(len(keys))]
+    rows = df.filter(F.col(value).isNotNull()).select(
+        *[F.col(k).alias(g) for k, g in zip(keys, group)], F.col(value).alias("_v"),
+        *([F.col(weight).alias("_w")] if weight else []))
+    counted = rows.groupBy(*group, "_v").agg((F.sum("_w") if weight else F.count(F.lit(1))).alias("_c"))
+    coded = counted.withColumn("_code", order_code(F.col("_v")))
+    coarse = coded.withColumn("_range", F.shiftright("_code", _COARSE))
 
-    through = F.col("_offset") + F.col("_through")
+    held = coarse.groupBy(*group, "_range").agg(F.sum("_c").alias("_held"))
+    in_order = Window.partitionBy(*group).orderBy("_range")
+    placed = held.withColumns({"_offset": F.sum("_held").over(in_order) - F.col("_held"),
+                               "_total": F.sum("_held").over(Window.partitionBy(*group))})
+    inside = _looked_into(coarse, placed.filter(_wanted(quantiles)), group, "_offset", "_total")
+
+    fine = inside.withColumn("_part", F.shiftright("_code", _FINE))
+    held = fine.groupBy(*group, "_range", "_part").agg(
+        F.sum("_c").alias("_held"), F.first("_offset").alias("_offset"), F.first("_total").alias("_total"))
+    in_order = Window.partitionBy(*group, "_range").orderBy("_part")
+    placed = held.withColumn("_offset", F.col("_offset") + F.sum("_held").over(in_order) - F.col("_held"))
+    hit = placed.filter(_wanted(quantiles)).drop("_range").withColumnRenamed("_part", "_range")
+    last = _looked_into(coded.withColumn("_range", F.shiftright("_code", _FINE)), hit, group, "_offset", "_total")
+
+    ordered = Window.partitionBy(*group, "_range").orderBy("_v")
+    through = F.col("_offset") + F.sum("_c").over(ordered)
+    ranked = last.withColumn("_through", through)
     measures = []
     for i, q in enumerate(quantiles.values()):
-        place = F.lit(float(q)) * (F.col("_total") - 1)
-        measures += [F.min(F.when(through > F.floor(place), F.col("_v"))).alias(f"_lo{i}"),
-                     F.min(F.when(through > F.ceil(place), F.col("_v"))).alias(f"_hi{i}")]
-    found = placed.groupBy(*group).agg(F.max("_total").alias("_total"), *measures)
+        measures += [F.min(F.when(F.col("_through") > rank, F.col("_v"))).alias(f"_{end}{i}")
+                     for end, rank in zip(("lo", "hi"), _ranks(q))]
+    found = ranked.groupBy(*group).agg(F.max("_total").alias("_total"), *measures)
+    return found.select(*[F.col(g).alias(k) for k, g in zip(keys, group)], *[
+        between(F.col(f"_lo{i}"), F.col(f"_hi{i}"), q, F.col("_total")).alias(name)
+        for i, (name, q) in enumerate(quantiles.items())])
+
 
-    outputs = []
-    for i, (name, q) in enumerate(quantiles.items()):
-        place = F.lit(float(q)) * (F.col("_total") - 1)
-        step = place - F.floor(place)
-        outputs.append((F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * step).alias(name))
-    return found.select(*keys, *outputs)
+def between(low: Column, high: Column, quantile: float, total: Column) -> Column:
+    """The quantile from the values at the ranks below and above its place among ``total`` values."""
+    place = F.lit(float(quantile)) * (total - 1)
+    return low + (high - low) * (place - F.floor(place))
+
+
+def _ranks(quantile: float) -> tuple[Column, Column]:
+    """Ranks (from 0) between which a quantile lies."""
+    place = F.lit(float(quantile)) * (F.col("_total") - 1)
+    return F.floor(place), F.ceil(place)
+
+
+def _wanted(quantiles: Mapping[str, float]) -> Column:
+    """True of a range that holds one of the wanted ranks."""
+    wanted = F.lit(False)
+    for q in quantiles.values():
+        for rank in _ranks(q):
+            wanted = wanted | ((rank >= F.col("_offset")) & (rank < F.col("_offset") + F.col("_held")))
+    return wanted
 
 
-def _renamed(group: Sequence[str]) -> list[Column]:
-    return [F.col(k).alias(f"_k{i}") for i, k in enumerate(group)]
+def _looked_into(values: DataFrame, hit: DataFrame, group: Sequence[str], *more: str) -> DataFrame:
+    """Values of the ranges in ``hit``, of which a group has two per quantile at most, with what is known of the range."""
+    few = hit.select(*[F.col(g).alias(f"{g}h") for g in group], F.col("_range").alias("_rangeh"), *more)
+    same = [F.col(g).eqNullSafe(F.col(f"{g}h")) for g in group] + [F.col("_range") == F.col("_rangeh")]
+    return values.join(few, same).drop("_rangeh", *[f"{g}h" for g in group])
