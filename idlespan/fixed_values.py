@@ -188,7 +188,10 @@ BOOSTING_SPACE = {
     "maxDepth": (3, 5, 7, 10, 15),
     "stepSize": (0.01, 0.05, 0.1, 0.2, 0.3),
     "subsamplingRate": (0.6, 0.7, 0.8, 0.9, 1.0),
-    "minInstancesPerNode": (1, 3, 5, 7),
+    "columnSampling": (0.6, 0.7, 0.8, 0.9, 1.0),
+    "l1": (0.0, 0.1, 0.5, 1.0),
+    "l2": (0.0, 0.1, 0.5, 1.0),
+    "minChildWeight": (1.0, 3.0, 5.0, 7.0),
 }
 FOREST_BASELINE = {
     "cpu_mae": 0.2369,

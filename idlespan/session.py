@@ -5,6 +5,8 @@ from __future__ import annotations
 import functools
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -67,3 +69,16 @@ def written(df: DataFrame) -> DataFrame:
     path = shared_folder(df.sparkSession) + "/table"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def ship(spark: SparkSession) -> None:
+    """Hand this package's code to the executors, which need not have it installed."""
+    context, package = spark.sparkContext, Path(__file__).resolve().parent
+    if getattr(context, "_has_package", None) == package.name:
+        return
+    archive = Path(tempfile.mkdtemp(prefix=f"{package.name}-code-"), f"{package.name}.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for file in sorted(package.rglob("*.py")):
+            out.write(file, file.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    context._has_package = package.name
