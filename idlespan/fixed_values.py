@@ -174,14 +174,17 @@ TIME_COLUMN_WORDS = ("date", "period", "time")
 FOREST_REGRESSION_SPACE = {
     "numTrees": (50, 100, 200),
     "maxDepth": (5, 10, 15, 20),
+    "minSplitWeight": (2, 5, 10),
     "minInstancesPerNode": (1, 2, 5),
     "featureSubsetStrategy": ("sqrt", "log2"),
 }
 FOREST_CLASSIFICATION_SPACE = {
     "numTrees": (50, 100, 150, 200),
-    "maxDepth": (10, 15, 20, 25),
+    "maxDepth": (10, 15, 20, 25, -1),
+    "minSplitWeight": (2, 5, 10),
     "minInstancesPerNode": (1, 2, 4),
     "featureSubsetStrategy": ("sqrt", "log2", "all"),
+    "classWeight": ("balanced", "balanced_subsample", "none"),
 }
 BOOSTING_SPACE = {
     "maxIter": (50, 100, 150, 200, 300),
