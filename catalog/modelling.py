@@ -383,14 +383,6 @@ def _(charges):
     return measured.select("metric", (_within("accuracy", "precision", "recall", "f1") & (F.col("f1") > 0.7)).alias("as_expected"))
 
 
-@query("m11_random_search_boosting", "SELECT * FROM (VALUES ('cpu', true), ('memory', true)) AS v(metric, as_expected)")
-def _(charges):
-    """Boosted trees chosen from 15 settings of the whole space by cross-validation: better than the recorded forest."""
-    _, fitted, rows, _ = _regression(charges, boosting=True, tuning_draws=15)
-    measured = models.compare_with_baseline(models.regression_metrics(fitted, rows))
-    return measured.select("metric", ((F.col("mae_improvement") > 0) & (F.col("r2") > 0.5)).alias("as_expected"))
-
-
 @query("o4_aws_model_streaks", "SELECT true AS found, 0::BIGINT AS wrong")
 def _(charges):
     """AWS compute resources with long runs of rows a fitted model calls 'Low': some, each once, with a run of 24 or more."""
