@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import tempfile
+import threading
 import uuid
 import zipfile
 from pathlib import Path
@@ -11,6 +12,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _CHECKPOINT_KEY = "spark.checkpoint.dir"
+_SHIPPING = threading.Lock()
 
 
 def local_session(name: str, cores: str = "8", memory: str = "12g") -> SparkSession:
@@ -72,13 +74,14 @@ def written(df: DataFrame) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Hand this package's code to the executors, which need not have it installed."""
+    """Hand this package's code to the executors, which need not have it installed; once a session."""
     context, package = spark.sparkContext, Path(__file__).resolve().parent
-    if getattr(context, "_has_package", None) == package.name:
-        return
-    archive = Path(tempfile.mkdtemp(prefix=f"{package.name}-code-"), f"{package.name}.zip")
-    with zipfile.ZipFile(archive, "w") as out:
-        for file in sorted(package.rglob("*.py")):
-            out.write(file, file.relative_to(package.parent))
-    context.addPyFile(str(archive))
-    context._has_package = package.name
+    with _SHIPPING:
+        if getattr(context, "_has_package", None) == package.name:
+            return
+        archive = Path(tempfile.mkdtemp(prefix=f"{package.name}-code-"), f"{package.name}.zip")
+        with zipfile.ZipFile(archive, "w") as out:
+            for file in sorted(package.rglob("*.py")):
+                out.write(file, file.relative_to(package.parent))
+        context.addPyFile(str(archive))
+        context._has_package = package.name
