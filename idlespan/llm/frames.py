@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import zipfile
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from idlespan.session import ship
+
 #: Bytes of text that a Python worker looks at together.
 SLICE_BYTES = 6 << 20
 
@@ -76,19 +75,6 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total) + np.repeat(starts - ends + lengths, lengths)
 
 
-def ship(spark: SparkSession) -> None:
-    """Hand this package's code to the executors, which need not have it installed."""
-    context, package = spark.sparkContext, Path(__file__).resolve().parents[1]
-    if getattr(context, "_has_package", None) == package.name:
-        return
-    archive = Path(tempfile.mkdtemp(prefix=f"{package.name}-code-"), f"{package.name}.zip")
-    with zipfile.ZipFile(archive, "w") as out:
-        for file in sorted(package.rglob("*.py")):
-            out.write(file, file.relative_to(package.parent))
-    context.addPyFile(str(archive))
-    context._has_package = package.name
-
-
 def mapped(df: DataFrame, text: str, fields: list[T.StructField],
            work: Callable[[], Callable[[pa.Array], list[pa.Array]]]) -> DataFrame:
     """``df`` by position (c0, c1, ...) with the columns that ``work`` makes of its text.

@@ -15,8 +15,6 @@ from idlespan.session import written
 
 #: Buckets of single words, of word pairs and of word endings (three characters).
 WORDS, PAIRS, ENDINGS = 1 << 14, 1 << 14, 1 << 12
-#: Trusted documents taken at most (an id is 8 bytes, so they can be broadcast).
-TRUSTED_SAMPLE = 8192
 #: Added to both counts of a bucket, so that rare n-grams say little.
 PRIOR = 4.0
 #: A document whose mean log ratio is lower is turned down.
@@ -72,33 +70,35 @@ def signs(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataF
         (F.length("text") - F.length(F.regexp_replace("text", "[#*$%&|<>]", ""))).alias("n_symbols"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).alias("n_dup_lines"),
         _paired("_h4", 4).alias("_h8")).withColumn("_h8", _first("_h8", WINDOW - 1))
-    repeats = F.size(F.array_distinct("_h8")) < F.size("_h8")
-    none = F.array().cast("array<struct<window:string,at:int>>")
-    windows = F.when(repeats, F.array_sort(F.transform("_h8", lambda _, i: F.struct(
-        F.array_join(F.slice("words", i + F.lit(1), WINDOW), " ").alias("window"), i.alias("at"))))).otherwise(none)
+    # Words are compared only for windows whose hash is found again.
+    hashed = F.when(F.size(F.array_distinct("_h8")) < F.size("_h8"), F.array_sort(F.transform(
+        "_h8", lambda h, i: F.struct(h.alias("hash"), i.alias("at"))))).otherwise(F.array().cast("array<struct<hash:bigint,at:int>>"))
+    hash_at = lambda i: F.get(F.col("_hashed"), i)["hash"]
+    again = F.filter("_hashed", lambda w, i: F.coalesce(w.hash == hash_at(i - 1), F.lit(False))
+                     | F.coalesce(w.hash == hash_at(i + 1), F.lit(False)))
+    windows = F.array_sort(F.transform("_again", lambda w: F.struct(
+        F.array_join(F.slice("words", w.at + F.lit(1), WINDOW), " ").alias("window"), w.at.alias("at"))))
     beside = lambda i: F.get(F.col("_windows"), i)["window"]
     twice = F.filter("_windows", lambda w, i: F.coalesce(w.window == beside(i - 1), F.lit(False))
                      | F.coalesce(w.window == beside(i + 1), F.lit(False)))
     covered = F.transform("_places", lambda p, i: F.least(
         F.lit(WINDOW), F.coalesce(F.get(F.col("_places"), i + 1), p + F.lit(WINDOW)) - p))
     return (
-        counted.withColumn("_windows", windows)
+        counted.withColumn("_hashed", hashed).withColumn("_again", again).withColumn("_windows", windows)
         .withColumn("_places", F.array_sort(F.transform(twice, lambda w: w.at)))
         .withColumn("n_repeat_words", F.aggregate(covered, F.lit(0), lambda s, n: s + n))
-        .drop("_h8", "_windows", "_places"))
+        .drop("_h8", "_hashed", "_again", "_windows", "_places"))
 
 
-def weights(df: DataFrame, trusted: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
-            sample: int = TRUSTED_SAMPLE) -> DataFrame:
+def weights(df: DataFrame, trusted: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row, ``weights``: the log ratio of trusted to raw frequency of each bucket.
 
-    ``trusted`` holds ids in ``doc_id``; ``sample`` of them at most are taken, by
-    hash.  Raw counts cover every document of ``df``, trusted ones among them.
-    Without trusted documents all weights are zero.  Counts are added up before
-    they are shuffled; there are as many as buckets.  Runs jobs.
+    ``trusted`` holds the ids of all trusted documents in ``doc_id``; null ids and
+    repeated ones are nothing more.  Raw counts cover every document of ``df``,
+    trusted ones among them.  Without trusted documents all weights are zero.
+    Counts are added up before they are shuffled; there are as many as buckets.  Runs jobs.
     """
-    some = trusted.select(doc_id).where(F.col(doc_id).isNotNull()).distinct().orderBy(F.xxhash64(doc_id), doc_id).limit(sample)
-    chosen = F.broadcast(some.select(F.col(doc_id).alias("doc_id"), F.lit(1).alias("good")))
+    chosen = picked(trusted, doc_id=doc_id).where("doc_id IS NOT NULL").distinct().withColumn("good", F.lit(1))
     rows = _with_words(picked(df, doc_id=doc_id, text=text)).join(chosen, "doc_id", "left")
     grams = rows.select("good", F.explode(F.concat(*_grams())).alias("bucket"))
     counts = written(grams.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.count("good").alias("good")))
@@ -114,7 +114,7 @@ def weights(df: DataFrame, trusted: DataFrame, *, doc_id: str = "doc_id", text:
 
 
 def judged(df: DataFrame, trusted: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
-           threshold: float = THRESHOLD, sample: int = TRUSTED_SAMPLE) -> DataFrame:
+           threshold: float = THRESHOLD) -> DataFrame:
     """Per row of ``df``: the ``signs``, ``base_failed``, ``log_ratio`` and ``kept``.
 
     ``log_ratio`` is the mean weight of the row's n-grams, 0 for a text without
@@ -122,7 +122,7 @@ def judged(df: DataFrame, trusted: DataFrame, *, doc_id: str = "doc_id", text: s
     repeated) and its ``log_ratio`` is at least ``threshold``.  Repeated rows are
     judged alike; an empty table gives an empty table; other columns do not matter.
     """
-    table = weights(df, trusted, doc_id=doc_id, text=text, sample=sample)
+    table = weights(df, trusted, doc_id=doc_id, text=text)
     # As many numbers as there are buckets come to the driver and go into the plan as one constant array.
     numbers = ",".join(map(repr, table.first().weights))
     looked_up = F.split(F.lit(numbers), ",").cast("array<double>")

@@ -125,34 +125,30 @@ def op3_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(F.col("c0").alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256")
 
 
-@query(r"""
-WITH marked AS (
-  SELECT source, lang, text, len(list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda w: w <> '')) AS words,
-         coalesce(toxic, 0) = 1 AS gone, quality IS NOT NULL AND quality = 0 AS moved
-  FROM (SELECT doc_id, source, lang, coalesce(text, '') AS text FROM documents)
-  LEFT JOIN (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY doc_id) USING (doc_id)),
-counted AS (
-  SELECT source, lang, 'words-1' AS tokenizer, words AS n FROM marked WHERE NOT gone AND NOT moved
-  UNION ALL
-  SELECT source, lang, 'pieces-2', len(regexp_extract_all(text, '\p{L}+|[^\p{L}\x20\x09-\x0D]')) FROM marked
-  WHERE NOT gone AND moved)
-SELECT source, lang, tokenizer, count(*) AS documents, CAST(sum(n) AS BIGINT) AS tokens FROM counted GROUP BY ALL""")
+@query()
 def op4_token_counts(spark: SparkSession, folder: str) -> DataFrame:
-    """All documents come; toxic ones go; of the rest, poor ones are counted anew by another tokenizer; two batches are replayed."""
+    """All documents come; toxic ones go; of the rest, poor ones are counted anew with another vocabulary; batches are replayed."""
     rows = picked(table(spark, folder, "documents"), doc_id="doc_id", source="source", lang="lang", text="text")
-    said = table(spark, folder, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
-    counts = rows.select("doc_id", "source", "lang", F.lit("words-1").alias("tokenizer"),
-                         token_counts.words_in(F.col("text")).alias("n_tokens"),
-                         token_counts.pieces_in(F.col("text")).alias("pieces"))
-    counts = written(counts.join(said, "doc_id", "left"))
-    gone = counts.where("toxic = 1")
-    moved = counts.where("quality = 0 AND coalesce(toxic, 0) <> 1")
-    anew = moved.withColumns({"tokenizer": F.lit("pieces-2"), "n_tokens": F.col("pieces")})
+    said = picked(table(spark, folder, "labels"), doc_id="doc_id", quality="quality", toxic="toxic").groupBy("doc_id").agg(
+        F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    names = ["doc_id", "source", "lang", "text", "quality", "toxic"]
+    judged = rows.join(said, "doc_id", "left").select(*names)
+
+    def counted(docs: DataFrame, vocabulary: str, function) -> DataFrame:
+        made = function(docs, public_tokenizers.path(vocabulary))
+        return made.select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(names) if n != "text"],
+                           F.lit(vocabulary.removesuffix(".json")).alias("tokenizer"), "n_tokens")
+
+    counts = written(counted(judged, BYTE_BPE, token_counts.byte_bpe_counts))
+    gone, poor = counts.where("toxic = 1"), "quality = 0 AND coalesce(toxic, 0) <> 1"
+    anew = written(counted(judged.where(poor), WORD_BPE, token_counts.word_bpe_counts))
     rollup = token_counts.Rollup(spark, shared_folder(spark))
     for name, changes in (("first", token_counts.inserted(counts)), ("toxic", token_counts.deleted(gone)),
-                          ("first", token_counts.inserted(counts)), ("poor", token_counts.revised(moved, anew)),
-                          ("toxic", token_counts.deleted(gone))):
+                          ("first", token_counts.inserted(counts))):
         rollup.commit(name, changes)
+    rollup.compact()
+    rollup.commit("poor", token_counts.revised(counts.where(poor), anew))
+    rollup.commit("toxic", token_counts.deleted(gone))
     return rollup.totals()
 
 
@@ -184,7 +180,7 @@ def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     """Every document's counts, and whether it reads like those labelled good."""
-    good = table(spark, folder, "labels").where("quality = 1")
+    good = picked(table(spark, folder, "labels"), doc_id="doc_id", quality="quality").where("quality = 1")
     found = quality_rules.judged(table(spark, folder, "documents"), good)
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                         "base_failed", "kept", "log_ratio")
@@ -280,3 +276,18 @@ def op13_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
     """Hard negatives of every anchor, against all vectors."""
     rows = negatives.whole_vectors(table(spark, folder, "embeddings"), relabel=(7, 10))
     return negatives.hard_negatives(rows, F.col("vec_id") % 50 == 0)
+
+
+@query()
+def packed_chats(spark: SparkSession, folder: str) -> DataFrame:
+    """All conversations, formatted, as tokens with loss flags, packed under limits that each bind."""
+    chats = chat.format_chats(table(spark, folder, "conversations"))
+    parts = chats.select("conv_id", F.posexplode("segments").alias("nth", "part")).select(
+        "conv_id", "nth", F.col("part.loss").alias("loss"), F.col("part.text").alias("text"))
+    coded = bpe.encode(parts, bpe.vocabulary(public_tokenizers.path(BYTE_BPE))).select(
+        F.col("c0").alias("conv_id"), F.col("c1").alias("nth"), "ids", F.transform("ids", lambda _: F.col("c2")).alias("flags"))
+    whole = coded.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("nth", "ids", "flags"))).alias("parts")).select(
+        "conv_id", F.flatten("parts.ids").alias("ids"), F.flatten("parts.flags").alias("flags"))
+    pieces = packing.pack(whole, packing.Limits(tokens=2048, segments=4, loss_tokens=768), loss="flags")
+    return pieces.select(F.col("c0").alias("conv_id"), "start", "length", "loss_tokens", "doc_tokens",
+                         F.crc32("piece_ids").alias("ids_crc32"), "sequence_id", "offset")

@@ -4,18 +4,23 @@ A batch is a table of changes: documents that came (values after), went (values
 before) or were counted anew (both).  Its signed sums by source, language and
 tokenizer version are stored under the batch's name, and a commit record is
 written last.  Totals are the sums of all committed batches, so a batch that is
-replayed, whole or after a crash, counts once.
+replayed, whole or after a crash, counts once.  A snapshot adds up what was
+committed so far, so that totals read it and the batches after it only.
 """
 
 from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from idlespan.llm.frames import picked
+from idlespan.llm import bpe
+from idlespan.llm.frames import mapped, picked
+from idlespan.llm.packing import WordEncoder
 
 KEYS = ("source", "lang", "tokenizer")
 _DELTA = T.StructType([*[T.StructField(k, T.StringType()) for k in KEYS], T.StructField("documents", T.LongType()),
@@ -52,10 +57,12 @@ class Rollup:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
 
-    def _exists(self, path: str) -> bool:
+    def _marked(self, name: str) -> list[str]:
+        """Folders below ``name`` that were written to the end: those with a success mark, which is written last."""
         jvm = self.spark.sparkContext._jvm
-        place = jvm.org.apache.hadoop.fs.Path(path)
-        return place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+        pattern = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}/*/_SUCCESS")
+        found = pattern.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).globStatus(pattern)
+        return sorted(status.getPath().getParent().getName() for status in found or [])
 
     def commit(self, batch: str, changes: DataFrame) -> bool:
         """Add a batch's signed changes (``inserted``, ``deleted``, ``revised``, or unions of them).
@@ -66,7 +73,7 @@ class Rollup:
         does no harm.
         """
         part = hashlib.sha256(batch.encode()).hexdigest()[:32]
-        if self._exists(f"{self.folder}/commits/{part}/_SUCCESS"):
+        if part in self._marked("commits"):
             return False
         sums = changes.groupBy(*KEYS).agg(
             F.sum("sign").cast("long").alias("documents"),
@@ -76,29 +83,60 @@ class Rollup:
             f"{self.folder}/commits/{part}")
         return True
 
-    def _read(self, name: str, schema: T.StructType) -> DataFrame:
-        path = f"{self.folder}/{name}"
-        if not self._exists(path):
+    def _read(self, name: str, parts: list[str], schema: T.StructType) -> DataFrame:
+        if not parts:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(path)
+        return self.spark.read.schema(schema).parquet(*[f"{self.folder}/{name}/{part}" for part in parts])
 
     def batches(self) -> DataFrame:
         """Names of the committed batches."""
-        return self._read("commits", _COMMIT).select("batch")
+        return self._read("commits", self._marked("commits"), _COMMIT).select("batch")
+
+    def _since(self) -> tuple[DataFrame, list[str]]:
+        """Sums of the newest whole snapshot, and the committed batches that it does not hold."""
+        held = self._marked("snapshot_parts")[-1:]
+        inside = {r.part for r in self._read("snapshot_parts", held, _COMMIT).select("part").collect()}
+        return self._read("snapshots", held, _DELTA), [p for p in self._marked("commits") if p not in inside]
+
+    def _sums(self) -> DataFrame:
+        snapshot, later = self._since()
+        return snapshot.unionByName(self._read("deltas", later, _DELTA)).groupBy(*KEYS).agg(
+            F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens"))
+
+    def compact(self) -> None:
+        """Add up all that is committed, so that totals read one table and later batches.
+
+        The list of batches in a snapshot is written last; one that was not finished
+        counts for nothing, and the next attempt writes over it.  Old deltas and
+        snapshots stay where they are.
+        """
+        parts = self._marked("commits")
+        number = f"{len(self._marked('snapshot_parts')) + 1:08d}"
+        self._sums().withColumn("part", F.lit(number)).write.mode("overwrite").parquet(f"{self.folder}/snapshots/{number}")
+        self._read("commits", parts, _COMMIT).write.mode("overwrite").parquet(f"{self.folder}/snapshot_parts/{number}")
 
     def totals(self) -> DataFrame:
         """(source, lang, tokenizer, documents, tokens) over all committed batches; keys whose sums are both zero are left out."""
-        done = self._read("commits", _COMMIT).select("part")
-        sums = self._read("deltas", _DELTA).join(done, "part", "left_semi").groupBy(*KEYS).agg(
-            F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens"))
-        return sums.where("documents <> 0 OR tokens <> 0")
+        return self._sums().where("documents <> 0 OR tokens <> 0")
+
+
+_COUNT = [T.StructField("n_tokens", T.LongType())]
+
+
+def byte_bpe_counts(df: DataFrame, vocabulary: str, *, text: str = "text") -> DataFrame:
+    """``df`` by position (c0, c1, ...) with ``n_tokens``: ids of the byte-level vocabulary in that file, null text has none."""
+    tables = bpe.vocabulary(vocabulary)
+    return bpe.encode(df, tables, text=text).withColumn("n_tokens", F.size("ids").cast("long")).drop("ids")
 
 
-def words_in(text: Column) -> Column:
-    """Tokens of version ``words-1``: what ASCII white space parts."""
-    return F.size(F.array_remove(F.split(F.coalesce(text, F.lit("")), "[\\x20\\x09-\\x0D]+"), "")).cast("long")
+def word_bpe_counts(df: DataFrame, vocabulary: str, *, text: str = "text") -> DataFrame:
+    """``df`` by position (c0, c1, ...) with ``n_tokens``: ids of the word-level vocabulary in that file, null text has none."""
+    with open(vocabulary, encoding="utf-8") as file:
+        sent = df.sparkSession.sparkContext.broadcast(file.read())
 
+    def work():
+        encoder = WordEncoder(sent.value)
+        # The end of a text is not one of its tokens.
+        return lambda column: [pa.array((encoder(column, 1)[1] - 1).astype(np.int64))]
 
-def pieces_in(text: Column) -> Column:
-    """Tokens of version ``pieces-2``: runs of letters, and every digit and mark alone."""
-    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit("\\p{L}+|[^\\p{L}\\x20\\x09-\\x0D]")).cast("long")
+    return mapped(df, text, _COUNT, work)

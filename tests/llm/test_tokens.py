@@ -131,6 +131,49 @@ def test_counts_by_deltas(spark):
     assert rollup.batches().count() == 4
 
 
+def test_snapshots_and_unfinished_writes(spark):
+    """Totals stay the same through compaction; what lacks its success mark is neither read nor taken for done."""
+    rollup = token_counts.Rollup(spark, shared_folder(spark))
+    rows = spark.createDataFrame([("a", "en", "t", n) for n in range(20)], "source string, lang string, tokenizer string, n_tokens long")
+    assert rollup.totals().count() == 0
+    rollup.compact()
+    total = lambda: [tuple(r) for r in rollup.totals().collect()]
+    for turn in range(3):
+        assert rollup.commit(f"b{turn}", token_counts.inserted(rows))
+        expected = [("a", "en", "t", 20 * (turn + 1), 190 * (turn + 1))]
+        assert total() == expected
+        rollup.compact()
+        assert total() == expected and not rollup.commit(f"b{turn}", token_counts.inserted(rows))
+    assert len(rollup._since()[1]) == 0 and rollup.batches().count() == 3
+
+    path, root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path, rollup.folder
+    system = path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    before = total()
+    rollup.commit("late", token_counts.deleted(rows))
+    part = [p for p in rollup._marked("commits") if p in rollup._since()[1]][0]
+    system.delete(path(f"{root}/commits/{part}/_SUCCESS"), False)
+    assert total() == before and rollup.batches().count() == 3
+    assert rollup.commit("late", token_counts.deleted(rows)) and total() == [("a", "en", "t", 40, 380)]
+    rollup.compact()
+    newest = rollup._marked("snapshot_parts")[-1]
+    system.delete(path(f"{root}/snapshot_parts/{newest}/_SUCCESS"), False)
+    assert total() == [("a", "en", "t", 40, 380)]
+    rollup.compact()
+    assert rollup._marked("snapshot_parts")[-1] == newest and total() == [("a", "en", "t", 40, 380)]
+
+
+@pytest.mark.parametrize("count, vocabulary", [
+    (token_counts.byte_bpe_counts, "byte_bpe_50k.json"), (token_counts.word_bpe_counts, "word_bpe_49k.json")])
+def test_counts_equal_library(odd, none, count, vocabulary):
+    library = Tokenizer.from_file(public_tokenizers.path(vocabulary))
+    library.no_truncation()
+    library.no_padding()
+    rows = count(odd, public_tokenizers.path(vocabulary)).collect()
+    assert len(rows) == len(ROWS)
+    assert all(r.n_tokens == len(library.encode(r.c1 or "", add_special_tokens=False).ids) for r in rows)
+    assert count(none, public_tokenizers.path(vocabulary)).count() == 0
+
+
 def test_uncommitted_batch_does_not_count(spark):
     rollup = token_counts.Rollup(spark, shared_folder(spark))
     counts = spark.createDataFrame([("a", "en", "t", 5)], "source string, lang string, tokenizer string, n_tokens long")
