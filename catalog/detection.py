@@ -96,10 +96,13 @@ def _(charges):
 
 def _predicted_by_type(charges):
     """A deterministic stand-in for predicted classes, so that SQL can follow."""
+    return _with_stand_in(of_cloud(rolled(charges), "AWS"))
+
+
+def _with_stand_in(rollup):
     cpu = F.when(F.hour("HourlyTimestamp") < 20, "Low").otherwise("Medium")
     memory = F.when(F.col("TotalHourlyCost") < 3000, "Low").otherwise("High")
-    return of_cloud(rolled(charges), "AWS").withColumns(
-        {"PredictedCPUClass": cpu, "PredictedMemoryClass": memory})
+    return rollup.withColumns({"PredictedCPUClass": cpu, "PredictedMemoryClass": memory})
 
 
 add("aws_classes", ("rollup",), f"""
@@ -168,7 +171,7 @@ FROM (SELECT CASE WHEN {IS_GCP} THEN 'GCP' ELSE 'AWS' END AS Cloud, count(*) AS
 LEFT JOIN (SELECT CASE WHEN {IS_GCP} THEN 'GCP' ELSE 'AWS' END AS Cloud, count(*) AS n,
                   sum(PotentialSavings) AS s FROM both_found GROUP BY 1) f USING (Cloud)""")
 def _(charges):
-    stats = overprovisioned.detection_stats(rolled(charges), _both_clouds(charges))
+    stats = overprovisioned.detection_stats_of_rollup(_with_stand_in(rolled(charges)))
     return rounded(stats, Percent=8, HourlySavings=4, MonthlySavings=2, YearlySavings=2)
 
 
@@ -378,9 +381,7 @@ FROM (SELECT 'commitment_unused' AS condition, count(*) FILTER (WHERE {IS_GCP})
       UNION ALL SELECT 'zero_usage', count(*) FILTER (WHERE {IS_GCP}), count(*) FILTER (WHERE {IS_AWS}), count(*)
       FROM zero)""")
 def _(charges):
-    table = rolled(charges)
-    return rounded(unused.unused_stats(table, unused.unused_commitments_in_rollup(table),
-                                       unused.zero_usage_streaks(table)), percent=8)
+    return rounded(unused.unused_stats(rolled(charges)), percent=8)
 
 
 @query("u3_unused_resources", using("rollup", "rollup_commitments", extra=streaks("rollup", _ZERO)) + f"""

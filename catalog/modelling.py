@@ -15,6 +15,7 @@ from catalog.sql import IS_AWS, IS_GCP, add, label, using
 from idlespan import fixed_values as fixed
 from idlespan.operators import features, models, overprovisioned
 from idlespan.operators.conversion import of_cloud
+from idlespan.operators.rollup import LAYOUT
 from idlespan.operators.sampling import hash_split, with_copies
 from idlespan.session import shared_folder, written
 from idlespan.sources.stores import load_models, save_models
@@ -28,7 +29,7 @@ WHERE {IS_GCP} AND AvgCPUUsage > 0 AND AvgCPUUsage <= 1 AND AvgMemoryUsage > 0 A
 
 def _stored_rollup(charges):
     """The rollup as a table, since fitting and scoring both read it."""
-    return written(rolled(charges).drop("UsageDate"))
+    return written(rolled(charges).drop(*LAYOUT))
 
 
 def _summary(df, *names):

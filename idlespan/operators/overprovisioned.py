@@ -9,7 +9,7 @@ from idlespan import fixed_values as fixed
 from idlespan.functions import numbers, text
 from idlespan.operators.conversion import of_cloud, with_cloud
 from idlespan.operators.quantiles import exact_quantiles
-from idlespan.operators.rollup import USAGE_DATE
+from idlespan.operators.rollup import LAYOUT
 from idlespan.operators.streaks import longest_runs
 from idlespan.operators.timegrid import merge_tables
 from idlespan.schema import find_column, require_columns
@@ -130,7 +130,7 @@ def compute_rows(rollup: DataFrame) -> DataFrame:
 
 def _streaks(rows: DataFrame, cpu_low: Column, memory_low: Column, min_rows: int,
              gap_aware: bool, means: tuple[str, ...] = ()) -> DataFrame:
-    kept = [c for c in rows.columns if c not in ("Cloud", "ResourceId", USAGE_DATE, *means)]
+    kept = [c for c in rows.columns if c not in ("Cloud", "ResourceId", *LAYOUT, *means)]
     runs = longest_runs(
         rows,
         {"ConsecutiveCPUHours": F.coalesce(cpu_low, F.lit(False)),
@@ -175,6 +175,36 @@ def detection_stats(rollup: DataFrame, detections: DataFrame) -> DataFrame:
         (savings * 24 * 365).alias("YearlySavings"))
 
 
+def detection_stats_of_rollup(rollup: DataFrame, cpu_threshold: float = fixed.CPU_THRESHOLD,
+                              memory_threshold: float = fixed.MEMORY_THRESHOLD,
+                              min_rows: int = fixed.MIN_STREAK_ROWS) -> DataFrame:
+    """``detection_stats`` of GCP streaks by usage and AWS streaks by predicted class, in one pass.
+
+    ``rollup`` has ``PredictedCPUClass`` and ``PredictedMemoryClass``, which count for AWS
+    rows only.  Rows are counted along with the runs.
+    """
+    rows = with_cloud(compute_rows(rollup))
+    gcp = F.col("Cloud") == "GCP"
+
+    def low(usage: str, predicted: str, threshold: float) -> Column:
+        measured = F.coalesce(numbers.number(F.col(usage)), F.lit(0.0)) < threshold
+        return F.when(gcp, measured).otherwise(F.coalesce(F.col(predicted) == "Low", F.lit(False)))
+
+    runs = longest_runs(rows, {"_cpu": low("AvgCPUUsage", "PredictedCPUClass", cpu_threshold),
+                               "_memory": low("AvgMemoryUsage", "PredictedMemoryClass", memory_threshold)},
+                        keep_last=["TotalHourlyCost"], within=("Cloud",), carried={"_seen": (F.lit(True), F.max)})
+    found = F.col("ResourceId").isNotNull() & ((F.col("_cpu") >= min_rows) | (F.col("_memory") >= min_rows))
+    cost = F.coalesce(numbers.number(F.col("TotalHourlyCost")), F.lit(0.0))
+    saved = cost * F.when(gcp, fixed.GCP_WASTE_RATIO).otherwise(fixed.AWS_WASTE_RATIO)
+    sums = runs.groupBy("Cloud").agg(
+        F.sum("RowCount").alias("Total"), F.count_if(found).alias("OverProvisioned"),
+        F.coalesce(F.sum(F.when(found, saved)), F.lit(0.0)).alias("HourlySavings"))
+    return sums.select("Cloud", "Total", "OverProvisioned",
+                       numbers.share_percent(F.col("OverProvisioned"), F.col("Total")).alias("Percent"), "HourlySavings",
+                       (F.col("HourlySavings") * 24 * 30).alias("MonthlySavings"),
+                       (F.col("HourlySavings") * 24 * 365).alias("YearlySavings"))
+
+
 def low_estimates(estimated: DataFrame, cpu_threshold: float = fixed.CPU_THRESHOLD,
                   memory_threshold: float = fixed.MEMORY_THRESHOLD) -> DataFrame:
     """Charges whose estimated CPU or memory is low, with waste and savings."""

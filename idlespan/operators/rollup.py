@@ -8,8 +8,8 @@ There are two ways to the resource-hour rollup with the same result:
 cut into at most one piece per calendar day, equal pieces are added up, and the
 pieces, not the hours, are shuffled (twice: to add equal ones up, and by day); a
 daily charge then moves one or two rows over the network, not 24.  With
-``keep_usage_date`` rows end up partitioned by (ResourceId, UsageDate), which the
-streak operators reuse without another shuffle.  Because equal pieces
+``keep_usage_date`` rows end up partitioned by (ResourceId, UsageDate, UsageSpread),
+which the streak operators reuse without another shuffle.  Because equal pieces
 were added up first, a resource that holds a large share of all charges reaches
 a task only as its distinct pieces of one day.
 """
@@ -24,6 +24,10 @@ from idlespan.operators.timegrid import with_hourly_cost
 from idlespan.schema import ROLLUP_INPUT_COLUMNS, require_columns
 
 USAGE_DATE = "UsageDate"
+#: Parts a day's rows without a resource among tasks by provider and service; 0 where there is a resource.
+SPREAD = "UsageSpread"
+#: Columns that ``keep_usage_date`` adds.
+LAYOUT = (USAGE_DATE, SPREAD)
 
 _BASE_KEYS = ("ProviderName", "BillingAccountId", "ResourceId", "HourlyTimestamp", "ServiceName")
 _OPTIONAL_KEYS = ("ResourceType", "CommitmentDiscountStatus")
@@ -62,12 +66,16 @@ def resource_hours_of_charges(charges: DataFrame, distribute_cost: bool = True,
     # Pieces grow into up to 24 rows each after this shuffle, so its partitions must
     # not be merged by their size before; naming the number keeps them apart.
     partitions = int(charges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # Streaks want a resource's day in one place; otherwise all keys may spread it, so that
-    # charges without a resource, or a day of one with very many services, meet in no single task.
-    layout = ["ResourceId"] if keep_usage_date else keys
+    # Streaks want a resource's day in one place, but rows without a resource are no one's; otherwise
+    # all keys may spread a day, so that one with very many services meets in no single task.
+    spread = F.when(F.col("ResourceId").isNull(), F.pmod(F.xxhash64("ProviderName", "ServiceName"), F.lit(1024))).otherwise(
+        F.lit(0).cast("bigint"))
+    added = [SPREAD] if keep_usage_date else []
+    layout = ["ResourceId", *added] if keep_usage_date else keys
     distinct_pieces = (
         pieces.groupBy(*keys, USAGE_DATE, "_first", "_length")
         .agg(F.count(F.lit(1)).alias("_rows"), *partial)
+        .withColumns({SPREAD: spread} if keep_usage_date else {})
         .repartition(partitions, *layout, USAGE_DATE)
     )
     hours = distinct_pieces.withColumn(
@@ -80,7 +88,7 @@ def resource_hours_of_charges(charges: DataFrame, distribute_cost: bool = True,
                  for c, out in _AVERAGED.items() if c in means]
     measures += [numbers.sum_or_zero(F.col(f"_{c}")).alias(out)
                  for c, out in _SUMMED.items() if c in sums]
-    rolled = hours.groupBy(*rollup_keys(present), USAGE_DATE).agg(*measures)
+    rolled = hours.groupBy(*rollup_keys(present), USAGE_DATE, *added).agg(*measures)
     return rolled if keep_usage_date else rolled.drop(USAGE_DATE)
 
 
@@ -136,15 +144,16 @@ def hourly_aggregate(rollup: DataFrame, ordered: bool = False) -> DataFrame:
     """
     present = rollup.columns
     keys = ["HourlyTimestamp", "ProviderName", "ResourceId", "ServiceName",
-            *[c for c in ("Region", USAGE_DATE) if c in present]]
+            *[c for c in ("Region", *LAYOUT) if c in present]]
     measures = [numbers.sum_or_zero(F.col("TotalHourlyCost")).alias("HourlyCost"),
                 F.count("ResourceId").alias("RecordCount")]
     measures += [F.avg(c).alias(c) for c in _AVERAGED.values() if c in present]
     if "TotalConsumedQuantity" in present:
         measures.append(numbers.sum_or_zero(F.col("TotalConsumedQuantity"))
                         .alias("TotalConsumedQuantity"))
-    grouped = rollup.groupBy(*keys).agg(*measures).drop(USAGE_DATE)
-    return grouped.orderBy(*[k for k in keys if k != USAGE_DATE]) if ordered else grouped
+    # The layout's columns follow from the others; named, they spare a shuffle.
+    grouped = rollup.groupBy(*keys).agg(*measures).drop(*LAYOUT)
+    return grouped.orderBy(*[k for k in keys if k not in LAYOUT]) if ordered else grouped
 
 
 def hourly_summary_totals(hourly: DataFrame) -> DataFrame:

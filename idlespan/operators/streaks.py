@@ -16,12 +16,12 @@ not flagged, or the row before it when a gap in time ends the run.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from idlespan.operators.rollup import USAGE_DATE
+from idlespan.operators.rollup import SPREAD, USAGE_DATE
 
 _TIE_BREAKERS = ("BillingAccountId", "ServiceName", "ResourceType", "CommitmentDiscountStatus")
 
@@ -45,25 +45,34 @@ def longest_runs(
     means: Sequence[str] = (),
     keep_last: Sequence[str] = (),
     gap_aware: bool = False,
+    within: Sequence[str] = (),
+    carried: Mapping[str, tuple[Column, Callable[[Column], Column]]] | None = None,
 ) -> DataFrame:
-    """Per key: the longest run of each flag, means over all rows, the last row.
+    """Per key (and ``within``): the longest run of each flag, means over all rows, the last row.
 
     Runs count rows in time order: by default a missing hour does not end a run
     and two rows in the same hour count twice.  With ``gap_aware`` a run also ends
-    wherever two rows are not exactly one hour apart.  Rows without a key are left out.
+    wherever two rows are not exactly one hour apart.
+
+    ``carried`` adds other rules to the same pass: (value of a row, aggregate) by
+    name, where the aggregate of a block's aggregates is that of all rows, as with
+    sums and minima.  Rows without a key are left out, unless something is carried:
+    then they give a row without a key, of which only what is carried means anything.
     """
-    rows = df.filter(F.col(key).isNotNull())
+    carried = carried or {}
+    rows = df if carried else df.filter(F.col(key).isNotNull())
     if USAGE_DATE not in rows.columns:
         rows = rows.withColumn(USAGE_DATE, F.col(time).cast("date"))
-    blocks = _block_summaries(rows, flags, key, time, means, keep_last, gap_aware)
-    return _join_blocks(blocks, flags, key, means, keep_last, gap_aware)
+    keys = [key, *within]
+    blocks = _block_summaries(rows, flags, key, keys, time, means, keep_last, gap_aware, carried)
+    return _join_blocks(blocks, flags, key, keys, means, keep_last, gap_aware, carried)
 
 
-def _block_summaries(rows, flags, key, time, means, keep_last, gap_aware) -> DataFrame:
+def _block_summaries(rows, flags, key, keys, time, means, keep_last, gap_aware, carried) -> DataFrame:
     # Sorting looks at the first column most; a hash of the block tells nearly all
     # blocks apart there.  Blocks are still told apart by their key and day.
     rows = rows.withColumn("_block", F.xxhash64(key, USAGE_DATE))
-    block = ["_block", key, USAGE_DATE]
+    block = ["_block", *keys, USAGE_DATE, *[c for c in (SPREAD,) if c in rows.columns]]
     # Names to order by are columns of their own: windows over the same columns share one sort.
     order = [*_names(rows), *[c for c in ("TotalHourlyCost",) if c in rows.columns]]
     rows = rows.withColumns(_names(rows))
@@ -71,12 +80,13 @@ def _block_summaries(rows, flags, key, time, means, keep_last, gap_aware) -> Dat
     so_far = in_block.rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
     marked = rows.select(
-        *block, time, *[c for c in (*means, *keep_last) if c not in (key, USAGE_DATE, time)],
+        *block, time, *[c for c in (*means, *keep_last) if c not in (*keys, USAGE_DATE, time)],
         F.row_number().over(in_block).alias("_n"),
         *([F.lead(F.lit(1)).over(in_block).isNull().alias("_is_last")] if keep_last else []),
         *([F.lag(time).over(in_block).alias("_previous")] if gap_aware else []),
         *[c for c in order if c not in (*means, *keep_last)],
         *[flag.alias(f"_on_{name}") for name, flag in flags.items()],
+        *[value.alias(f"_of_{name}") for name, (value, _) in carried.items()],
     )
     position = F.col("_n")
     breaks = {}
@@ -90,6 +100,7 @@ def _block_summaries(rows, flags, key, time, means, keep_last, gap_aware) -> Dat
         {f"_open_{name}": F.max(f"_break_{name}").over(so_far) for name in flags})
 
     measures = [F.count(F.lit(1)).alias("_length")]
+    measures += [merge(F.col(f"_of_{name}")).alias(f"_of_{name}") for name, (_, merge) in carried.items()]
     for name in flags:
         run = position - F.coalesce(F.col(f"_open_{name}"), F.lit(0))
         starts = F.when(F.col(f"_break_{name}").isNotNull(), position - 1)
@@ -107,8 +118,14 @@ def _block_summaries(rows, flags, key, time, means, keep_last, gap_aware) -> Dat
     return marked.groupBy(*block).agg(*measures).drop("_block")
 
 
-def _join_blocks(blocks, flags, key, means, keep_last, gap_aware) -> DataFrame:
-    by_day = Window.partitionBy(key).orderBy(USAGE_DATE)
+def _join_blocks(blocks, flags, key, keys, means, keep_last, gap_aware, carried) -> DataFrame:
+    by_day = Window.partitionBy(*keys).orderBy(USAGE_DATE)
+    if carried:
+        # Blocks without a key have no order: each stands alone, so that they do not meet in one task.
+        spread = [c for c in (SPREAD,) if c in blocks.columns]
+        alone = F.when(F.col(key).isNull(), F.xxhash64(USAGE_DATE, *spread)).otherwise(F.lit(0).cast("bigint"))
+        blocks = blocks.withColumn("_alone", alone)
+        by_day = Window.partitionBy(*keys, "_alone").orderBy(USAGE_DATE)
     earlier = by_day.rowsBetween(Window.unboundedPreceding, -1)
 
     placed = blocks.withColumn(
@@ -126,19 +143,20 @@ def _join_blocks(blocks, flags, key, means, keep_last, gap_aware) -> DataFrame:
          for name in flags})
 
     measures = [F.sum("_length").alias("RowCount")]
+    measures += [merge(F.col(f"_of_{name}")).alias(name) for name, (_, merge) in carried.items()]
     for name in flags:
-        carried = F.when(gap, F.lit(0)).otherwise(F.col(f"_carry_{name}"))
-        joined = carried + F.coalesce(F.col(f"_head_{name}"), F.col("_length"))
+        carry = F.when(gap, F.lit(0)).otherwise(F.col(f"_carry_{name}"))
+        joined = carry + F.coalesce(F.col(f"_head_{name}"), F.col("_length"))
         measures.append(F.max(F.greatest(F.col(f"_best_{name}"), joined)).alias(name))
     for column in means:
         measures.append(F.try_divide(F.sum(f"_sum_{column}"), F.sum(f"_cnt_{column}"))
                         .alias(f"mean_{column}"))
     if keep_last:
         measures.append(F.max_by("_last", USAGE_DATE).alias("_last"))
-    result = placed.groupBy(key).agg(*measures)
+    result = placed.groupBy(*keys).agg(*measures)
     if keep_last:
-        others = [c for c in result.columns if c not in (key, "_last")]
-        result = result.select(key, *[F.col("_last")[c].alias(c) for c in keep_last if c != key], *others)
+        others = [c for c in result.columns if c not in (*keys, "_last")]
+        result = result.select(*keys, *[F.col("_last")[c].alias(c) for c in keep_last if c not in keys], *others)
     return result
 
 

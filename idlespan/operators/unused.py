@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from idlespan import fixed_values as fixed
 from idlespan.functions import numbers, text
 from idlespan.operators.quantiles import exact_quantiles
-from idlespan.operators.rollup import USAGE_DATE
+from idlespan.operators.rollup import LAYOUT
 from idlespan.operators.streaks import longest_runs
 from idlespan.operators.timegrid import merge_tables
 from idlespan.schema import first_existing, require_columns
@@ -105,13 +105,8 @@ def unused_commitments_in_rollup(rollup: DataFrame) -> DataFrame:
     })
 
 
-def zero_usage_streaks(rollup: DataFrame, idle_days: int = fixed.IDLE_DAYS,
-                       gap_aware: bool = False) -> DataFrame:
-    """Resources with a run of rows without cost and consumption of ``idle_days`` or more.
-
-    Cost is the first of effective, billed and hourly cost the table has; missing
-    amounts count as 0.  Clouds are not separated.
-    """
+def _zero_rows(rollup: DataFrame) -> tuple[DataFrame, Column]:
+    """The rollup with missing amounts as 0, and whether a row has neither cost nor consumption."""
     cost = first_existing(
         rollup.columns, ("TotalEffectiveCost", "TotalBilledCost", "TotalHourlyCost"))
     if cost is None:
@@ -122,8 +117,10 @@ def zero_usage_streaks(rollup: DataFrame, idle_days: int = fixed.IDLE_DAYS,
     zero = F.lit(True)
     for column in amounts:
         zero = zero & (F.col(column) == 0)
-    kept = [c for c in rows.columns if c not in ("ResourceId", USAGE_DATE)]
-    runs = longest_runs(rows, {"ConsecutiveZeroHours": zero}, keep_last=kept, gap_aware=gap_aware)
+    return rows, zero
+
+
+def _as_zero_usage(runs: DataFrame, idle_days: int) -> DataFrame:
     hours = F.col("ConsecutiveZeroHours")
     return runs.filter(hours >= idle_days * 24).withColumns({
         "UnusedReason": F.concat(F.lit("Zero-Usage-"), hours.cast("string"), F.lit("h")),
@@ -132,11 +129,52 @@ def zero_usage_streaks(rollup: DataFrame, idle_days: int = fixed.IDLE_DAYS,
     })
 
 
+def zero_usage_streaks(rollup: DataFrame, idle_days: int = fixed.IDLE_DAYS,
+                       gap_aware: bool = False) -> DataFrame:
+    """Resources with a run of rows without cost and consumption of ``idle_days`` or more.
+
+    Cost is the first of effective, billed and hourly cost the table has; missing
+    amounts count as 0.  Clouds are not separated.
+    """
+    rows, zero = _zero_rows(rollup)
+    kept = [c for c in rows.columns if c not in ("ResourceId", *LAYOUT)]
+    runs = longest_runs(rows, {"ConsecutiveZeroHours": zero}, keep_last=kept, gap_aware=gap_aware)
+    return _as_zero_usage(runs, idle_days)
+
+
 def unused_resources(rollup: DataFrame, idle_days: int = fixed.IDLE_DAYS) -> DataFrame:
-    """Both rollup-level rules, one row per resource; commitment rows win."""
-    plain = rollup.drop(USAGE_DATE)
-    return first_per_resource(
-        [unused_commitments_in_rollup(plain), zero_usage_streaks(rollup, idle_days)])
+    """Both rollup-level rules, one row per resource; commitment rows win.
+
+    One pass: the earliest commitment row of each resource is carried along with its
+    runs.  Commitment rows without a resource collapse into one.
+    """
+    require_columns(rollup, ("CommitmentDiscountStatus",))
+    rows, zero = _zero_rows(rollup)
+    names = [c for c in rows.columns if c not in LAYOUT]
+    kept = [c for c in names if c != "ResourceId"]
+    # Rows are ordered with their own amounts, not with those filled in for the runs.
+    given = rollup.select(*names)
+    order = F.struct(*_total_order(names), *_others_last(names, ["ResourceId"]))
+    rows = rows.withColumn("_given", F.struct(*[F.col(c) for c in kept]))
+    first = F.when(_is_unused_commitment(), F.struct(order.alias("at"), F.col("_given").alias("row")))
+    runs = longest_runs(rows, {"ConsecutiveZeroHours": zero}, keep_last=kept, carried={"_commitment": (first, F.min)})
+
+    has = F.col("_commitment").isNotNull()
+    runs = runs.filter(has | (F.col("ResourceId").isNotNull() & (F.col("ConsecutiveZeroHours") >= idle_days * 24)))
+    cost = first_existing(given.columns, ("TotalHourlyCost", "TotalEffectiveCost"))
+    row = {c: F.when(has, F.col("_commitment.row")[c]).otherwise(F.col(c)) for c in kept}
+    hours = F.when(~has, F.col("ConsecutiveZeroHours"))
+    picked = runs.select("ResourceId", *[value.alias(c) for c, value in row.items()], hours.alias("ConsecutiveZeroHours"),
+                         F.when(~has, F.col("RowCount")).alias("RowCount"))
+    commitment = F.col("ConsecutiveZeroHours").isNull()
+    wasted = F.when(commitment, F.coalesce(numbers.number(F.col(cost)), F.lit(0.0))).otherwise(0.0) if cost else F.lit(0.0)
+    if cost:
+        picked = picked.withColumn(cost, F.when(commitment, F.coalesce(numbers.number(F.col(cost)), F.lit(0.0))).otherwise(F.col(cost)))
+    return picked.withColumns({
+        "UnusedReason": F.when(commitment, "Commitment-Unused").otherwise(
+            F.concat(F.lit("Zero-Usage-"), F.col("ConsecutiveZeroHours").cast("string"), F.lit("h"))),
+        "DetectionMethod": F.when(commitment, "CommitmentStatus").otherwise("Consecutive_Zero"),
+        "WastedCost": wasted})
 
 
 def commitment_stats(commitments: DataFrame) -> DataFrame:
@@ -162,22 +200,28 @@ def zero_usage_sample(unused: DataFrame, n: int = 10) -> DataFrame:
         .orderBy("ResourceId", *_total_order(unused.columns)).limit(n))
 
 
-def unused_stats(rollup: DataFrame, commitments: DataFrame, streaks: DataFrame) -> DataFrame:
+def unused_stats(rollup: DataFrame, idle_days: int = fixed.IDLE_DAYS) -> DataFrame:
     """Per condition: findings by cloud, in all, and in percent of all rollup rows.
 
-    Counted before the rules are merged into one row per resource.
+    Counted before the rules are merged into one row per resource.  One pass:
+    commitment rows are counted along with the runs.
     """
-    total = rollup.agg(F.count(F.lit(1))).scalar()
-    provider = F.col("ProviderName")
-    parts = []
-    for condition, found in (("commitment_unused", commitments), ("zero_usage", streaks)):
-        parts.append(found.agg(
-            F.lit(condition).alias("condition"),
-            F.count_if(text.matches_cloud(provider, "GCP")).alias("gcp"),
-            F.count_if(text.matches_cloud(provider, "AWS")).alias("aws"),
-            F.count(F.lit(1)).alias("total")))
-    return merge_tables(*parts).withColumn("rollup_rows", total).withColumn(
-        "percent", numbers.share_percent(F.col("total"), F.col("rollup_rows")))
+    require_columns(rollup, ("CommitmentDiscountStatus",))
+    rows, zero = _zero_rows(rollup)
+    clouds = {c.lower(): text.matches_cloud(F.col("ProviderName"), c) for c in ("GCP", "AWS")}
+    counted = {"all": F.lit(True), **clouds}
+    unused = F.coalesce(_is_unused_commitment(), F.lit(False))
+    carried = {f"_commitment_{n}": ((unused & F.coalesce(c, F.lit(False))).cast("bigint"), F.sum) for n, c in counted.items()}
+    runs = longest_runs(rows, {"_zero": zero}, keep_last=["ProviderName"], carried=carried)
+    idle = F.col("ResourceId").isNotNull() & (F.col("_zero") >= idle_days * 24)
+    sums = runs.agg(
+        F.coalesce(F.sum("RowCount"), F.lit(0)).alias("rollup_rows"),
+        *[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in carried],
+        *[F.count_if(idle & c).alias(f"_streak_{n}") for n, c in counted.items()])
+    one = lambda condition, kind: F.struct(
+        F.lit(condition).alias("condition"), *[F.col(f"_{kind}_{n}").alias(n if n != "all" else "total") for n in ("gcp", "aws", "all")])
+    return sums.select("rollup_rows", F.inline(F.array(one("commitment_unused", "commitment"), one("zero_usage", "streak")))).select(
+        "condition", "gcp", "aws", "total", "rollup_rows", numbers.share_percent(F.col("total"), F.col("rollup_rows")).alias("percent"))
 
 
 def free_charge_overview(charges: DataFrame) -> DataFrame:

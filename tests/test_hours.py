@@ -86,6 +86,6 @@ def test_hourly_aggregate_ignores_missing_resources_in_count_only(spark):
 def test_late_expansion_plan_expands_after_the_shuffle(spark):
     table = rollup.resource_hours_of_charges(
         spark.createDataFrame([charge_row()], CHARGE_SCHEMA), keep_usage_date=True)
-    windowed = table.groupBy("ResourceId", rollup.USAGE_DATE).count()
+    windowed = table.groupBy("ResourceId", *rollup.LAYOUT).count()
     plan = windowed._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 2  # equal pieces, then resource and day

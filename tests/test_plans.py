@@ -6,7 +6,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from idlespan.operators import learning, rollup, shares, unused
+from idlespan.operators import learning, overprovisioned, rollup, shares, unused
 from idlespan.plans import detection
 from idlespan.session import shared_folder, written
 from tests.helpers import charge_row, charge_table, rollup_row, rollup_table
@@ -51,7 +51,7 @@ def test_hours_without_a_resource_are_spread(spark):
     spread = rollup.resource_hours_of_charges(table)
     used = spread.select(F.spark_partition_id().alias("p")).distinct().count()
     assert used > 3 and spread.agg(F.sum("RecordCount")).first()[0] == 400
-    together = rollup.resource_hours_of_charges(table, keep_usage_date=True).drop("UsageDate")
+    together = rollup.resource_hours_of_charges(table, keep_usage_date=True).drop(*rollup.LAYOUT)
     assert spread.exceptAll(together).count() == 0 and together.exceptAll(spread).count() == 0
 
 
@@ -95,3 +95,53 @@ def test_stored_tables_lie_in_one_folder_of_the_session(spark):
     first, second = shared_folder(spark), shared_folder(spark)
     assert first != second and first.rsplit("/", 1)[0] == second.rsplit("/", 1)[0]
     assert spark.sparkContext.applicationId in first
+
+
+@pytest.fixture
+def mixed_charges(spark):
+    """Idle and committed resources of both clouds, stored; a day of charges without a resource, some unused commitments."""
+    rows = [charge_row(h, resource=f"idle{c}", provider=c, cost=0.0, quantity=0.0) for c in ("GCP", "AWS") for h in range(80)]
+    rows += [charge_row(h, resource="both", provider="AWS", cost=0.0, quantity=0.0) for h in range(80)]
+    rows += [charge_row(h, resource="both", provider="AWS", status="Unused", cost=4.0 - h / 100) for h in (90, 85)]
+    rows += [charge_row(h % 24, resource=None, account=f"a{h % 30}", service=f"s{h % 9}", cost=0.0, quantity=0.0, cpu=0.1) for h in range(600)]
+    rows += [charge_row(5, resource=None, service="s1", status="unused", cost=2.0), charge_row(3, resource=None, service="s2", status="unused", cost=3.0)]
+    return written(charge_table(spark, rows))
+
+
+def scans(df) -> int:
+    return len(re.findall(r"FileScan parquet|Scan parquet", plan(df)))
+
+
+def test_unused_rules_read_charges_once(mixed_charges):
+    table = detection.rollup_of(mixed_charges)
+    assert scans(detection.unused_report(mixed_charges)) == scans(unused.unused_stats(table)) == 1
+    found = {r.ResourceId: (r.UnusedReason, r.WastedCost) for r in detection.unused_report(mixed_charges).collect()}
+    assert found == {"idleGCP": ("Zero-Usage-80h", 0.0), "idleAWS": ("Zero-Usage-80h", 0.0), "both": ("Commitment-Unused", 3.15),
+                     None: ("Commitment-Unused", 3.0)}
+    # The same as rule by rule, each with a pass of its own.
+    plain = table.drop(*rollup.LAYOUT)
+    apart = unused.first_per_resource([unused.unused_commitments_in_rollup(plain), unused.zero_usage_streaks(table)])
+    names = apart.columns
+    assert sorted(map(repr, unused.unused_resources(table).select(*names).collect())) == sorted(map(repr, apart.select(*names).collect()))
+    stats = {r.condition: (r.gcp, r.aws, r.total, r.rollup_rows) for r in unused.unused_stats(table).collect()}
+    rows = plain.count()
+    assert stats == {"commitment_unused": (2, 2, 4, rows), "zero_usage": (1, 2, 3, rows)}
+
+
+def test_detection_stats_read_charges_once(mixed_charges):
+    table = detection.rollup_of(mixed_charges).withColumns(
+        {"PredictedCPUClass": F.lit("Low"), "PredictedMemoryClass": F.lit("High")})
+    found = overprovisioned.detection_stats_of_rollup(table)
+    assert scans(found) == 1
+    both = overprovisioned.union_of_clouds(overprovisioned.gcp_low_streaks(table), overprovisioned.aws_low_streaks(table))
+    assert sorted(map(repr, found.collect())) == sorted(map(repr, overprovisioned.detection_stats(table, both).collect()))
+
+
+def test_a_day_without_resources_is_spread_in_every_plan(spark, mixed_charges):
+    table = detection.rollup_of(mixed_charges)
+    used = table.filter("ResourceId IS NULL").select(F.spark_partition_id().alias("p")).distinct().count()
+    assert used > 3
+    low = detection.low_usage_report(mixed_charges).filter("ResourceId IS NULL")
+    expected = mixed_charges.filter("ResourceId IS NULL AND SimulatedCPUUsage < 0.3").groupBy("ServiceName").agg(
+        F.count_distinct("ChargePeriodStart").alias("n")).filter("n >= 24")
+    assert {r.ServiceName: r.LowUsageHours for r in low.collect()} == {r.ServiceName: r.n for r in expected.collect()}
