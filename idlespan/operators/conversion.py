@@ -53,14 +53,25 @@ def percent_to_fraction(percent: Column) -> Column:
 
 def conversion_summary(charges: DataFrame) -> DataFrame:
     """One row: rows, cost, period, whole days covered and distinct counts."""
-    return charges.agg(
-        F.count(F.lit(1)).alias("total_records"),
-        numbers.sum_or_zero(F.col("BilledCost")).alias("total_cost"),
-        F.avg("BilledCost").alias("avg_cost"),
-        F.min("ChargePeriodStart").alias("start_date"),
-        F.max("ChargePeriodEnd").alias("end_date"),
+    names = ["ResourceId", "ServiceName", "Region"]
+    # Rows of equal names are added up first, then resources, so that each is one row; what is left is one row per
+    # service and region.
+    sums = charges.groupBy(*names).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("BilledCost").alias("cost"), F.count("BilledCost").alias("costs"),
+        F.min("ChargePeriodStart").alias("a"), F.max("ChargePeriodEnd").alias("b"))
+    listed = sums.groupBy("ResourceId").agg(F.collect_list(F.struct("ServiceName", "Region", "n", "cost", "costs", "a", "b")).alias("rows"))
+    marked = listed.select("ResourceId", F.posexplode("rows").alias("nth", "row")).select(
+        "row.*", ((F.col("nth") == 0) & F.col("ResourceId").isNotNull()).cast("bigint").alias("resource"))
+    few = marked.groupBy("ServiceName", "Region").agg(
+        *[F.sum(c).alias(c) for c in ("n", "cost", "costs", "resource")], F.min("a").alias("a"), F.max("b").alias("b"))
+    return few.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("total_records"),
+        numbers.sum_or_zero(F.col("cost")).alias("total_cost"),
+        F.try_divide(F.sum("cost"), F.sum("costs")).alias("avg_cost"),
+        F.min("a").alias("start_date"),
+        F.max("b").alias("end_date"),
         F.count_distinct("ServiceName").alias("unique_services"),
-        F.count_distinct("ResourceId").alias("unique_resources"),
+        F.coalesce(F.sum("resource"), F.lit(0)).alias("unique_resources"),
         F.count_distinct("Region").alias("unique_regions"),
     ).withColumn("date_range_days", times.whole_days(F.col("start_date"), F.col("end_date")))
 

@@ -16,6 +16,8 @@ a task only as its distinct pieces of one day.
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -115,23 +117,56 @@ def _cut_at_midnight(timed: DataFrame) -> DataFrame:
     )
 
 
+# --- distinct counts ------------------------------------------------------------------
+#
+# Hours are added up to one row per resource and day before anything is counted once: with the
+# layout's columns in the table that needs no shuffle.  One row of each resource is marked, so
+# resources are a sum; the hours of a day are the bits of a number, by their offset in the hour.
+
+_HOURS = ("_day", "_offset")
+
+
+def _by_day(table: DataFrame, keys: Sequence[str], measures: Mapping[str, Column]) -> DataFrame:
+    """One row per keys, resource and day, with ``_hours``: bits of the hours that occur."""
+    time = F.col("HourlyTimestamp")
+    day = table.withColumns({
+        "_day": F.col(USAGE_DATE) if USAGE_DATE in table.columns else time.cast("date"),
+        "_offset": F.unix_micros(time.cast("timestamp")) % 3_600_000_000})
+    bits = F.bit_or(F.call_function("shiftleft", F.lit(1), F.hour(time)))
+    layout = [c for c in LAYOUT if c in table.columns]
+    return day.groupBy(*keys, "ResourceId", *_HOURS, *layout).agg(bits.alias("_hours"), *[m.alias(n) for n, m in measures.items()])
+
+
+def _mark_resources(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``rows`` with ``_resource``: 1 at one row of each resource (and keys), else 0; rows without a resource have 0."""
+    others = [c for c in rows.columns if c not in (*keys, "ResourceId", *LAYOUT)]
+    listed = rows.groupBy(*keys, "ResourceId").agg(F.collect_list(F.struct(*others)).alias("_rows"))
+    return listed.select(*keys, "ResourceId", F.posexplode("_rows").alias("_nth", "_row")).select(
+        *keys, "_row.*", ((F.col("_nth") == 0) & F.col("ResourceId").isNotNull()).cast("bigint").alias("_resource"))
+
+
 def rollup_by_provider(rollup: DataFrame) -> DataFrame:
     """Distinct resources and cost per provider."""
-    return rollup.groupBy("ProviderName").agg(
-        F.count_distinct("ResourceId").alias("Resources"),
-        numbers.sum_or_zero(F.col("TotalHourlyCost")).alias("TotalCost"))
+    days = _by_day(rollup, ["ProviderName"], {"_cost": F.sum("TotalHourlyCost")})
+    return _mark_resources(days, ["ProviderName"]).groupBy("ProviderName").agg(
+        F.sum("_resource").alias("Resources"), numbers.sum_or_zero(F.col("_cost")).alias("TotalCost"))
 
 
 def rollup_summary(rollup: DataFrame) -> DataFrame:
     """One row: sizes, time range, total cost and how far grouping shrank the table."""
-    return rollup.agg(
-        F.count(F.lit(1)).alias("GroupedRows"),
-        F.sum("RecordCount").alias("InputRows"),
-        F.count_distinct("ResourceId").alias("UniqueResources"),
-        F.count_distinct("BillingAccountId").alias("UniqueAccounts"),
-        F.min("HourlyTimestamp").alias("FirstHour"),
-        F.max("HourlyTimestamp").alias("LastHour"),
-        numbers.sum_or_zero(F.col("TotalHourlyCost")).alias("TotalCost"),
+    days = _by_day(rollup.withColumn("_account", F.col("BillingAccountId")), ["_account"], {
+        "_rows": F.count(F.lit(1)), "_input": F.sum("RecordCount"), "_cost": F.sum("TotalHourlyCost"),
+        "_from": F.min("HourlyTimestamp"), "_to": F.max("HourlyTimestamp")})
+    accounts = _mark_resources(days.drop("_hours", *_HOURS), []).groupBy("_account").agg(
+        *[F.sum(c).alias(c) for c in ("_resource", "_rows", "_input", "_cost")], F.min("_from").alias("_from"), F.max("_to").alias("_to"))
+    return accounts.agg(
+        F.coalesce(F.sum("_rows"), F.lit(0)).alias("GroupedRows"),
+        F.sum("_input").alias("InputRows"),
+        F.coalesce(F.sum("_resource"), F.lit(0)).alias("UniqueResources"),
+        F.count("_account").alias("UniqueAccounts"),
+        F.min("_from").alias("FirstHour"),
+        F.max("_to").alias("LastHour"),
+        numbers.sum_or_zero(F.col("_cost")).alias("TotalCost"),
     ).withColumn("CompressionRatio", F.try_divide(F.col("InputRows"), F.col("GroupedRows")))
 
 
@@ -156,21 +191,30 @@ def hourly_aggregate(rollup: DataFrame, ordered: bool = False) -> DataFrame:
     return grouped.orderBy(*[k for k in keys if k not in LAYOUT]) if ordered else grouped
 
 
+def _hours_and_resources(hourly: DataFrame, keys: Sequence[str], means: Sequence[str] = ()) -> DataFrame:
+    """Per keys: rows, cost, distinct hours and resources, and sums and counts to take means of."""
+    measures = {"_rows": F.count(F.lit(1)), "_costs": F.count("HourlyCost"), "_cost": F.sum("HourlyCost")}
+    for c in means:
+        measures |= {f"_sum_{c}": F.sum(c), f"_n_{c}": F.count(c)}
+    days = _mark_resources(_by_day(hourly, keys, measures), keys).groupBy(*keys, *_HOURS).agg(
+        F.bit_or("_hours").alias("_hours"), *[F.sum(c).alias(c) for c in ("_resource", *measures)])
+    hours = F.sum(F.when(F.col("_day").isNotNull(), F.bit_count("_hours")).otherwise(0))
+    return days.groupBy(*keys).agg(F.coalesce(hours, F.lit(0)).cast("bigint").alias("_hours"), *[
+        F.coalesce(F.sum(c), F.lit(0)).alias(c) if c in ("_rows", "_resource") else F.sum(c).alias(c) for c in ("_resource", *measures)])
+
+
 def hourly_summary_totals(hourly: DataFrame) -> DataFrame:
     """One row: cost, distinct hours and resources, mean usage of the hourly table."""
-    return hourly.agg(
-        F.count(F.lit(1)).alias("TotalRecords"),
-        F.count_distinct("HourlyTimestamp").alias("UniqueHours"),
-        F.count_distinct("ResourceId").alias("UniqueResources"),
-        numbers.sum_or_zero(F.col("HourlyCost")).alias("TotalCost"),
-        *[F.avg(c).alias(f"Mean{c[3:]}") for c in _AVERAGED.values() if c in hourly.columns])
+    means = [c for c in _AVERAGED.values() if c in hourly.columns]
+    sums = _hours_and_resources(hourly, [], means)
+    return sums.select(
+        F.col("_rows").alias("TotalRecords"), F.col("_hours").alias("UniqueHours"), F.col("_resource").alias("UniqueResources"),
+        F.coalesce("_cost", F.lit(0.0)).alias("TotalCost"),
+        *[F.try_divide(f"_sum_{c}", f"_n_{c}").alias(f"Mean{c[3:]}") for c in means])
 
 
 def provider_comparison(hourly: DataFrame) -> DataFrame:
     """Cost, distinct resources and hours, and rows per provider."""
-    return hourly.groupBy("ProviderName").agg(
-        numbers.sum_or_zero(F.col("HourlyCost")).alias("TotalCost"),
-        F.avg("HourlyCost").alias("AvgCost"),
-        F.count_distinct("ResourceId").alias("UniqueResources"),
-        F.count_distinct("HourlyTimestamp").alias("UniqueHours"),
-        F.count(F.lit(1)).alias("TotalRecords"))
+    return _hours_and_resources(hourly, ["ProviderName"]).select(
+        "ProviderName", F.coalesce("_cost", F.lit(0.0)).alias("TotalCost"), F.try_divide("_cost", "_costs").alias("AvgCost"),
+        F.col("_resource").alias("UniqueResources"), F.col("_hours").alias("UniqueHours"), F.col("_rows").alias("TotalRecords"))

@@ -145,3 +145,24 @@ def test_a_day_without_resources_is_spread_in_every_plan(spark, mixed_charges):
     expected = mixed_charges.filter("ResourceId IS NULL AND SimulatedCPUUsage < 0.3").groupBy("ServiceName").agg(
         F.count_distinct("ChargePeriodStart").alias("n")).filter("n >= 24")
     assert {r.ServiceName: r.LowUsageHours for r in low.collect()} == {r.ServiceName: r.n for r in expected.collect()}
+
+
+def test_distinct_counts_expand_nothing(mixed_charges, spark):
+    table = detection.rollup_of(mixed_charges)
+    hourly = rollup.hourly_aggregate(table)
+    for made in (rollup.rollup_summary(table), rollup.rollup_by_provider(table), rollup.provider_comparison(hourly), rollup.hourly_summary_totals(hourly)):
+        text = plan(made)
+        assert "Expand" not in text and "HourlyTimestamp" not in "".join(re.findall(r"hashpartitioning\([^)]*\)", text))
+    # Charges that begin between hours: times, not hours, are told apart; missing times count as none.
+    rows = [charge_row(0.5, hours=3, resource="a"), charge_row(1, hours=2, resource="b"), charge_row(1, hours=2, resource="a", account="z"),
+            charge_row(1, hours=2, resource=None, provider="AWS")]
+    own = rollup.resource_hours_of_charges(charge_table(spark, rows))
+    expected = own.agg(F.count_distinct("ResourceId"), F.count_distinct("BillingAccountId"), F.count(F.lit(1))).first()
+    found = rollup.rollup_summary(own).first()
+    assert (found.UniqueResources, found.UniqueAccounts, found.GroupedRows) == tuple(expected) == (2, 2, 9)
+    byhour = rollup.hourly_aggregate(own)
+    both = {r.ProviderName: (r.UniqueResources, r.UniqueHours, r.TotalRecords) for r in rollup.provider_comparison(byhour).collect()}
+    assert both == {"GCP": (2, 5, 7), "AWS": (0, 2, 2)}
+    assert rollup.hourly_summary_totals(byhour).first().UniqueHours == 5
+    empty = rollup.hourly_summary_totals(byhour.limit(0)).collect()
+    assert [tuple(r)[:3] for r in empty] == [(0, 0, 0)]
