@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from idlespan.llm.frames import picked
+
 
 def held_out(doc_id: Column) -> Column:
     """Rows that training never sees: crc32 of the id as text divides by 5.  A null id is not held out."""
@@ -13,16 +15,16 @@ def held_out(doc_id: Column) -> Column:
 
 
 def sampled(labels: DataFrame, doc_id: str, label: str, most: int) -> DataFrame:
-    """(doc_id, label) of at most ``most`` rows for training, by hash of the id; half of them at most of either class.
+    """(doc_id, label) of at most ``most`` rows for training, by hash of the id alone, so classes keep their shares.
 
     Rows without an id or with a label other than 0 and 1 are left out; of several
-    labels for one id the largest counts.  The bound makes it safe to broadcast.
+    labels for one id the largest counts.  Names of other columns may clash.  The bound
+    makes it safe to broadcast.
     """
-    usable = labels.select(F.col(doc_id).alias("doc_id"), F.col(label).cast("int").alias("label")).where(
+    usable = picked(labels, doc_id=doc_id, label=label).withColumn("label", F.col("label").cast("int")).where(
         F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & ~held_out(F.col("doc_id")))
     single = usable.groupBy("doc_id").agg(F.max("label").alias("label"))
-    halves = [single.where(F.col("label") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most // 2) for c in (0, 1)]
-    return F.broadcast(halves[0].unionByName(halves[1]))
+    return F.broadcast(single.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most))
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:

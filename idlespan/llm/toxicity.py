@@ -27,6 +27,8 @@ from idlespan.session import written
 SAMPLE = 3000
 #: Words that the machine is trained on at most, of either class, and landmarks.
 TRAINING_WORDS, LANDMARKS = 8_000, 300
+#: Words of a toxic document that bear witness at most.
+WITNESSES = 5
 #: Length of subsequences, the longest stretch one may cover, the weight of one more place covered.
 LENGTH, SPAN, DECAY = 4, 6, 0.6
 #: Buckets that subsequences are hashed to, of fixed size.
@@ -195,8 +197,25 @@ def _machine(x: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 30, s
     return w[:-1], float(w[-1])
 
 
+def _unlike(docs: list[list[str]], labels: np.ndarray) -> tuple[list[list[str]], np.ndarray]:
+    """The documents without toxic ones that share four fifths of their units with an earlier one.
+
+    Copies of one document would speak for its words as often as they occur.
+    """
+    kept, held = [], []
+    for i, units in enumerate(docs):
+        if labels[i]:
+            own = set(units)
+            if any(len(own & other) >= 0.8 * len(own | other) for other in held if 0.8 * len(own) <= len(other) <= 1.25 * len(own)):
+                continue
+            held.append(own)
+        kept.append(i)
+    return [docs[i] for i in kept], labels[kept]
+
+
 def _learned(docs: list[list[str]], labels: np.ndarray, seed: int = 3) -> tuple[np.ndarray, float]:
     """Weights of subsequences from documents' different units and labels."""
+    docs, labels = _unlike(docs, labels)
     bad, good = {}, {}
     for units, label in zip(docs, labels):
         into = bad if label else good
@@ -207,7 +226,7 @@ def _learned(docs: list[list[str]], labels: np.ndarray, seed: int = 3) -> tuple[
     clean = clean[:TRAINING_WORDS // 4] + [clean[i] for i in sorted(draw.permutation(np.arange(
         TRAINING_WORDS // 4, max(TRAINING_WORDS // 4, len(clean))))[:TRAINING_WORDS * 3 // 4])]
     suspects = sorted((u for u in bad if u not in good), key=lambda u: (-bad[u], u))
-    witnesses = suspects[:TRAINING_WORDS]
+    witnesses, said = suspects[:TRAINING_WORDS], bad
     toxic = [[u for u in units if u not in good] for units, label in zip(docs, labels) if label]
     landmarks = _Landmarks([*witnesses[:LANDMARKS * 3 // 4], *clean[:LANDMARKS // 4]])
     table, bias = np.zeros(BUCKETS, dtype=np.float32), 0.0
@@ -217,20 +236,22 @@ def _learned(docs: list[list[str]], labels: np.ndarray, seed: int = 3) -> tuple[
                 for w in witnesses[:TRAINING_WORDS // 4] if len(w) > 4 for k in draw.integers(1, len(w), 2)]
         words = [*witnesses, *bent, *clean]
         y = np.array([1] * (len(witnesses) + len(bent)) + [0] * len(clean))
-        # A word counts as often as it was seen, and both classes count alike.
-        seen = np.sqrt(np.array([bad[u] for u in witnesses] + [0.25] * len(bent) + [1] * len(clean), dtype=np.float64))
+        # A witness counts as often as it was one, and both classes count alike: a word that stands for one
+        # document, whose label may be wrong, says little beside those that return.
+        seen = np.array([said[u] for u in witnesses] + [0.25] * len(bent) + [1] * len(clean), dtype=np.float64)
         share = np.where(y, seen[y == 1].sum(), seen[y == 0].sum())
         weights, bias = _machine(landmarks.features(words), y, np.maximum(4 * seen / share * len(y) / 2, 1e-3), 12)
         table = landmarks.table(weights)
         if turn == 3:
             break
-        # The worst words of every toxic document are the next witnesses, its others none.
+        # The next witnesses of a toxic document are the worst of its words that return elsewhere, or else its worst.
         value = dict(zip(suspects, _worth(suspects, table, bias)))
         chosen: dict[str, int] = {}
         for units in toxic:
-            for u in sorted(units, key=lambda u: -value[u])[:2]:
+            worst = sorted(units, key=lambda u: -value[u])[:WITNESSES]
+            for u in [u for u in worst if bad[u] > 1 and value[u] > 0] or worst[:1]:
                 chosen[u] = chosen.get(u, 0) + 1
-        witnesses = sorted(chosen, key=lambda u: (-chosen[u], u))[:TRAINING_WORDS]
+        witnesses, said = sorted(chosen, key=lambda u: (-chosen[u], u))[:TRAINING_WORDS], chosen
         picked_marks = sorted(witnesses, key=lambda u: -value[u])
         step = max(1, len(picked_marks) * 4 // (3 * LANDMARKS))
         landmarks = _Landmarks([*picked_marks[::step][:LANDMARKS * 3 // 4], *clean[:LANDMARKS // 4]])
@@ -257,12 +278,18 @@ def _odds(values: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
 
 def fit(documents: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
         label: str = "toxic", sample: int = SAMPLE) -> ToxicityModel:
-    """A model of at most ``sample`` labelled documents that are not held out, half of them at most of either class.
+    """A model of at most ``sample`` labelled documents that are not held out, taken by hash of the id alone.
 
     Sentences of a clean document are clean; a sentence of a toxic one is toxic if
-    it holds one of the document's two worst words, which are found anew in each
-    of four rounds.  The first two thirds teach the words, all of them the odds.
-    Without rows of both classes every text gets the share of toxic rows.
+    it holds one of the document's worst words, which are found anew in each of four
+    rounds: those that other toxic documents hold too, or else the worst alone.  Near
+    copies among the toxic documents count once.  The first two thirds teach the
+    words, the last the odds, so scores follow the share of toxic rows.  Without rows
+    of both classes every text gets that share.
+
+    Null and empty texts are documents without words; a very long one counts with
+    its different words; an id that occurs twice is two rows; empty tables give the
+    constant model; names of other columns may clash.
     """
     rows = picked(documents, doc_id=doc_id, text=text)
     # Stored, as it is read twice.
