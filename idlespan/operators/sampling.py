@@ -4,8 +4,8 @@ Rows are ranked by a hash of their content, so the same table gives the same
 split whatever its partitioning, also when a lost task is run again.  Identical
 rows are kept as one row with a count (``copies``), and a count is split where
 the cut falls inside it.  A group is ranked without gathering it: hashes are
-counted per prefix, whole prefixes fall on one side, and only rows of the prefix
-the cut falls in are sorted.
+counted per prefix, whole prefixes fall on one side, and the prefix that the cut
+falls in is counted by more digits until it holds few rows, which are sorted.
 """
 
 from __future__ import annotations
@@ -15,7 +15,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_PREFIX = 4  # hex digits: 65,536 prefixes
+from idlespan.session import written
+
+#: Hex digits that a prefix grows by (65,536 prefixes), of how many, and distinct rows that are sorted in one task at most.
+_DIGITS, _ALL_DIGITS = 4, 32
+SORTED_ROWS = 100_000
 
 
 def content_hash(columns: Sequence[Column], seed: int) -> Column:
@@ -43,38 +47,28 @@ def hash_split(
 
     Per stratum of ``n`` rows (copies counted) exactly ``int(n * train_fraction)``
     go to train, or all of them when ``n < min_rows``; ``max_train_rows`` limits that
-    number instead where given.
+    number instead where given.  Runs a job for every four digits of the hash that
+    are looked at, and stores one row per stratum each time.
     """
     group = list(strata)
     rows = distinct_rows.withColumn("_hash", content_hash(by, seed))
-    rows = rows.withColumn("_prefix", F.substring("_hash", 1, _PREFIX))
-
-    counted = rows.groupBy(*group, "_prefix").agg(F.sum("copies").alias("_held"))
-    by_prefix = Window.partitionBy(*group).orderBy("_prefix")
-    before = by_prefix.rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*group)
     wanted = F.floor(F.col("_n") * F.lit(train_fraction)).cast("bigint")
     if min_rows:
         wanted = F.when(F.col("_n") < min_rows, F.col("_n")).otherwise(wanted)
     if max_train_rows is not None:
         wanted = F.least(wanted, F.lit(max_train_rows).cast("bigint"))
-    cuts = (
-        counted.withColumn("_before", F.coalesce(F.sum("_held").over(before), F.lit(0)))
-        .withColumn("_n", F.sum("_held").over(whole))
-        .withColumn("_wanted", wanted)
-        .filter((F.col("_before") <= F.col("_wanted"))
-                & (F.col("_wanted") < F.col("_before") + F.col("_held")))
-    )
-    cut_values = [F.col("_prefix").alias("_cut"), (F.col("_wanted") - F.col("_before")).alias("_room")]
-    # A stratum that goes to train whole has no prefix where the cut falls.
-    if group:
-        cuts = cuts.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(group)], *cut_values)
-        same_group = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(group)]
-        joined = rows.join(cuts, same_group, "left")
-    else:
-        joined = rows.withColumn("_s", cuts.select(F.struct(*cut_values)).scalar())
-        joined = joined.select(*rows.columns, "_s._cut", "_s._room")
 
+    digits = _DIGITS
+    counted = _counted(rows, group, digits)
+    room = counted.withColumn("_n", F.sum("_held").over(Window.partitionBy(*group))).withColumn("_room", wanted).drop("_n")
+    cuts = _cut(room, group)
+    # A stratum that goes to train whole has no prefix that the cut falls in.
+    while digits < _ALL_DIGITS and (cuts.agg(F.max("_rows")).first()[0] or 0) > SORTED_ROWS:
+        inside = _with_cut(rows, cuts, group, "inner").filter(F.substring("_hash", 1, digits) == F.col("_cut"))
+        digits += _DIGITS
+        cuts = _cut(_counted(inside, [*group, "_room"], digits), group)
+
+    joined = _with_cut(rows, cuts, group, "left").withColumn("_prefix", F.substring("_hash", 1, digits))
     at_cut = F.col("_prefix") == F.col("_cut")
     clear = joined.filter(F.col("_cut").isNull() | ~at_cut)
     clear = clear.withColumn(
@@ -91,3 +85,29 @@ def hash_split(
     both = clear.unionByName(edge)
     return both.select(*distinct_rows.columns, "train_copies",
                        (F.col("copies") - F.col("train_copies")).alias("test_copies"))
+
+
+def _counted(rows: DataFrame, keys: Sequence[str], digits: int) -> DataFrame:
+    """Copies (``_held``) and distinct rows (``_rows``) per prefix of so many digits."""
+    return rows.groupBy(*keys, F.substring("_hash", 1, digits).alias("_prefix")).agg(
+        F.sum("copies").alias("_held"), F.count(F.lit(1)).alias("_rows"))
+
+
+def _cut(counted: DataFrame, group: Sequence[str]) -> DataFrame:
+    """The prefix of each group that holds its ``_room``-th copy, and the room that is left in it.  Stored, so Spark knows its size."""
+    before = Window.partitionBy(*group).orderBy("_prefix").rowsBetween(Window.unboundedPreceding, -1)
+    placed = counted.withColumn("_before", F.coalesce(F.sum("_held").over(before), F.lit(0)))
+    here = (F.col("_before") <= F.col("_room")) & (F.col("_room") < F.col("_before") + F.col("_held"))
+    return written(placed.filter(here).select(
+        *group, F.col("_prefix").alias("_cut"), (F.col("_room") - F.col("_before")).alias("_room"), "_rows"))
+
+
+def _with_cut(rows: DataFrame, cuts: DataFrame, group: Sequence[str], how: str) -> DataFrame:
+    """``rows`` with ``_cut`` and ``_room`` of their group."""
+    values = cuts.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(group)], "_cut", "_room")
+    if not group:
+        # One row at most.
+        struct = values.select(F.struct("_cut", "_room")).scalar()
+        return rows.withColumn("_s", struct).select(*rows.columns, "_s._cut", "_s._room")
+    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(group)]
+    return rows.join(values, same, how).select(*rows.columns, "_cut", "_room")
