@@ -13,6 +13,8 @@ from pyspark.sql import types as T
 
 from idlespan.session import ship
 
+#: Ids that are sent to every executor at most; some 100 MB there.
+BROADCAST_IDS = 4_000_000
 #: Bytes of text that a Python worker looks at together.
 SLICE_BYTES = 6 << 20
 
@@ -41,6 +43,14 @@ def picked(df: DataFrame, **roles: str) -> DataFrame:
     return plain.select(*[F.col(f"c{place(df, name)}").alias(role) for role, name in roles.items()])
 
 
+def small(ids: DataFrame) -> DataFrame:
+    """A stored table of ids, marked for broadcast if it is counted to hold at most ``BROADCAST_IDS``; else as it is.
+
+    Beyond that a join with it shuffles both sides.
+    """
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str | int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches cut so that each has about ``most`` bytes of text, and one row at least."""
     for batch in batches:

@@ -11,7 +11,7 @@ import public_tokenizers
 from idlespan.llm import (
     bpe, chat, exact_dedup, negatives, packing, prefix_trie, quality_model, quality_rules, sharding, simhash, token_counts,
     toxicity, warc)
-from idlespan.llm.frames import picked
+from idlespan.llm.frames import picked, small
 from idlespan.llm.labelled import held_out
 from idlespan.session import shared_folder, written
 
@@ -131,23 +131,24 @@ def op4_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     rows = picked(table(spark, folder, "documents"), doc_id="doc_id", source="source", lang="lang", text="text")
     said = picked(table(spark, folder, "labels"), doc_id="doc_id", quality="quality", toxic="toxic").groupBy("doc_id").agg(
         F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
-    names = ["doc_id", "source", "lang", "text", "quality", "toxic"]
-    judged = rows.join(said, "doc_id", "left").select(*names)
+    names = ["doc_id", "source", "lang", "text"]
 
     def counted(docs: DataFrame, vocabulary: str, function) -> DataFrame:
-        made = function(docs, public_tokenizers.path(vocabulary))
+        made = function(docs.select(*names), public_tokenizers.path(vocabulary))
         return made.select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(names) if n != "text"],
                            F.lit(vocabulary.removesuffix(".json")).alias("tokenizer"), "n_tokens")
 
-    counts = written(counted(judged, BYTE_BPE, token_counts.byte_bpe_counts))
-    gone, poor = counts.where("toxic = 1"), "quality = 0 AND coalesce(toxic, 0) <> 1"
-    anew = written(counted(judged.where(poor), WORD_BPE, token_counts.word_bpe_counts))
+    # Counts, not texts, meet the labels.
+    counts = written(counted(rows, BYTE_BPE, token_counts.byte_bpe_counts).join(said, "doc_id", "left"))
+    gone, poor = counts.where("toxic = 1"), counts.where("quality = 0 AND coalesce(toxic, 0) <> 1")
+    again = small(written(poor.select("doc_id").distinct()))
+    anew = written(counted(rows.join(again, "doc_id", "left_semi"), WORD_BPE, token_counts.word_bpe_counts))
     rollup = token_counts.Rollup(spark, shared_folder(spark))
     for name, changes in (("first", token_counts.inserted(counts)), ("toxic", token_counts.deleted(gone)),
                           ("first", token_counts.inserted(counts))):
         rollup.commit(name, changes)
     rollup.compact()
-    rollup.commit("poor", token_counts.revised(counts.where(poor), anew))
+    rollup.commit("poor", token_counts.revised(poor, anew))
     rollup.commit("toxic", token_counts.deleted(gone))
     return rollup.totals()
 
