@@ -122,6 +122,27 @@ def test_log_ratio_is_the_mean_of_bucket_ratios(spark, monkeypatch):
         assert found[i] == pytest.approx(mean, abs=1e-6)  # so few n-grams share no bucket
 
 
+def test_label_tables_with_clashing_names(spark, odd):
+    """Names that differ in their case only: the exact one counts."""
+    rows = [(i, int(i % 2), int(i % 3 == 0), 99, 7) for i in range(1, 14)] + [(None, 1, 1, 1, 1), (6, None, None, 1, 1), (7, 5, -1, 1, 1)]
+    labels = spark.createDataFrame(rows, "doc_id long, quality int, toxic int, Doc_ID long, Quality int")
+    for module in (quality_model, toxicity):
+        scores = [r.score for r in quality_model.scored(odd, module.fit(odd, labels)).collect()]
+        assert len(scores) == len(ROWS) and all(0 <= s <= 1 for s in scores)
+    assert quality_rules.judged(odd, labels).count() == len(ROWS)
+
+
+@pytest.mark.parametrize("most", [40, 400, 4000])
+def test_samples_keep_the_shares_of_the_classes(spark, most):
+    """A bound that cuts draws by id alone, so the share of a class does not depend on the table's size."""
+    labels = spark.range(4000).select(F.col("id").alias("doc_id"), (F.col("id") % 8 == 0).cast("int").alias("toxic"))
+    rows = labelled.sampled(labels, "doc_id", "toxic", most).collect()
+    usable = labels.where(~labelled.held_out(F.col("doc_id"))).count()
+    assert len(rows) == min(most, usable)
+    share = sum(r.label for r in rows) / len(rows)
+    assert abs(share - 1 / 8) < (0.15 if most == 40 else 0.05)
+
+
 @pytest.fixture(scope="module")
 def corpus(spark):
     """Clean prose, junk, and prose with insults that only share their stem."""
