@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from idlespan.llm.frames import picked
+from idlespan.llm.frames import picked, small
 from idlespan.session import written
 
 #: Buckets of single words, of word pairs and of word endings (three characters).
@@ -96,9 +96,11 @@ def weights(df: DataFrame, trusted: DataFrame, *, doc_id: str = "doc_id", text:
     ``trusted`` holds the ids of all trusted documents in ``doc_id``; null ids and
     repeated ones are nothing more.  Raw counts cover every document of ``df``,
     trusted ones among them.  Without trusted documents all weights are zero.
-    Counts are added up before they are shuffled; there are as many as buckets.  Runs jobs.
+    Counts are added up before they are shuffled; there are as many as buckets.
+    Texts are shuffled, to meet the trusted ids, only if there are too many of these
+    to broadcast.  Runs jobs.
     """
-    chosen = picked(trusted, doc_id=doc_id).where("doc_id IS NOT NULL").distinct().withColumn("good", F.lit(1))
+    chosen = small(written(picked(trusted, doc_id=doc_id).where("doc_id IS NOT NULL").distinct().withColumn("good", F.lit(1))))
     rows = _with_words(picked(df, doc_id=doc_id, text=text)).join(chosen, "doc_id", "left")
     grams = rows.select("good", F.explode(F.concat(*_grams())).alias("bucket"))
     counts = written(grams.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.count("good").alias("good")))
