@@ -89,3 +89,33 @@ def test_late_expansion_plan_expands_after_the_shuffle(spark):
     windowed = table.groupBy("ResourceId", *rollup.LAYOUT).count()
     plan = windowed._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 2  # equal pieces, then resource and day
+
+
+def _grouped_plainly(expanded):
+    """The rollup as one plain grouping of all hours."""
+    keys = rollup.rollup_keys(expanded.columns)
+    zero = lambda c: F.coalesce(F.sum(c), F.lit(0.0))
+    return expanded.groupBy(*keys).agg(
+        zero("HourlyCost").alias("TotalHourlyCost"), F.count(F.lit(1)).alias("RecordCount"),
+        F.avg("SimulatedCPUUsage").alias("AvgCPUUsage"), F.avg("SimulatedMemoryUsage").alias("AvgMemoryUsage"),
+        zero("EffectiveCost").alias("TotalEffectiveCost"), zero("BilledCost").alias("TotalBilledCost"),
+        zero("ConsumedQuantity").alias("TotalConsumedQuantity"))
+
+
+def test_rollups_equal_plain_grouping(spark):
+    charges = _random_charges(spark, 5, 120)
+    charges = charges.unionAll(charges.limit(40)).unionAll(charges.limit(40))  # some come three times
+    expanded = timegrid.expand_hours(charges)
+    assert same_rows(rollup.resource_hours_of_charges(charges), _grouped_plainly(expanded))
+    # An expanded table may lack hours, repeat others, or have rows without a time.
+    odd = expanded.filter(F.hour("HourlyTimestamp") % 5 != 3).unionAll(expanded.filter(F.hour("HourlyTimestamp") == 7))
+    odd = odd.unionAll(expanded.limit(9).withColumn("HourlyTimestamp", F.lit(None).cast("timestamp_ntz")))
+    assert same_rows(rollup.resource_hours(odd), _grouped_plainly(odd))
+
+
+def test_rollups_neither_move_nor_hold_hours(spark):
+    charges = charge_table(spark, [charge_row(hours=30)])
+    for table in (rollup.resource_hours_of_charges(charges), rollup.resource_hours(timegrid.expand_hours(charges))):
+        plan = table._jdf.queryExecution().executedPlan().toString()
+        grouped = [line for line in plan.splitlines() if "Aggregate(keys=[" in line or "Exchange" in line or "Sort [" in line]
+        assert grouped and not any("HourlyTimestamp" in line.split("functions=")[0] for line in grouped), grouped
