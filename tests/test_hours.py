@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from idlespan.operators import rollup, timegrid
+from idlespan.operators import overprovisioned, rollup, timegrid
 from tests.helpers import CHARGE_SCHEMA, charge_row, charge_table, same_rows
 
 
@@ -119,3 +119,19 @@ def test_rollups_neither_move_nor_hold_hours(spark):
         plan = table._jdf.queryExecution().executedPlan().toString()
         grouped = [line for line in plan.splitlines() if "Aggregate(keys=[" in line or "Exchange" in line or "Sort [" in line]
         assert grouped and not any("HourlyTimestamp" in line.split("functions=")[0] for line in grouped), grouped
+
+
+def test_hourly_aggregate_of_stretches_equals_that_of_hours(spark):
+    charges = _random_charges(spark, 6, 200)
+    for layout in (True, False):
+        hours = rollup.resource_hours_of_charges(charges, keep_usage_date=layout)
+        stretches = rollup.resource_stretches_of_charges(charges, keep_usage_date=layout)
+        assert stretches.count() < hours.count()
+        plain, packed = rollup.hourly_aggregate(hours), rollup.hourly_aggregate(stretches)
+        assert same_rows(rollup.hours_of_stretches(packed), plain) and same_rows(rollup.hourly_aggregate(stretches, ordered=True), plain)
+        text = packed._jdf.queryExecution().executedPlan().toString()
+        assert not any("HourlyTimestamp" in line.split("functions=")[0] for line in text.splitlines() if "Aggregate(keys=[" in line or "Exchange" in line)
+        for summary in (rollup.hourly_summary_totals, rollup.provider_comparison, overprovisioned.low_usage_hours):
+            assert same_rows(summary(packed), summary(plain), 6)
+        for summary in (rollup.rollup_by_provider, rollup.rollup_summary):
+            assert same_rows(summary(stretches), summary(hours), 6)
