@@ -133,7 +133,7 @@ def _(charges):
 SELECT ProviderName, count(DISTINCT ResourceId) AS Resources, round(sum(TotalHourlyCost), 2) AS TotalCost
 FROM rollup GROUP BY 1""")
 def _(charges):
-    stats = rollup.rollup_by_provider(rollup.resource_hours_of_charges(charges))
+    stats = rollup.rollup_by_provider(rollup.resource_stretches_of_charges(charges))
     path = sinks.write_stats(stats, _folder(charges))
     return rounded(charges.sparkSession.read.schema(stats.schema).json(path), TotalCost=2)
 

@@ -135,3 +135,28 @@ def test_hourly_aggregate_of_stretches_equals_that_of_hours(spark):
             assert same_rows(summary(packed), summary(plain), 6)
         for summary in (rollup.rollup_by_provider, rollup.rollup_summary):
             assert same_rows(summary(stretches), summary(hours), 6)
+
+
+def test_providers_need_neither_hours_nor_other_amounts(spark):
+    charges = _random_charges(spark, 7, 150)
+    stretches = rollup.resource_stretches_of_charges(charges)
+    found = rollup.rollup_by_provider(stretches)
+    grouped = [line for line in found._jdf.queryExecution().executedPlan().toString().splitlines() if "Aggregate(" in line]
+    assert grouped and not any(c in line for c in ("ConsumedQuantity", "EffectiveCost", "SimulatedCPUUsage", "struct(") for line in grouped)
+    hours = rollup.resource_hours_of_charges(charges)
+    expected = hours.groupBy("ProviderName").agg(F.count_distinct("ResourceId").alias("Resources"), F.sum("TotalHourlyCost").alias("TotalCost"))
+    assert same_rows(found, expected, 6) and same_rows(rollup.rollup_by_provider(hours), expected, 6)
+
+
+def test_stats_sink_tells_no_hours_apart(spark, tmp_path, monkeypatch):
+    from catalog import QUERIES
+
+    day = "TIMESTAMP_NTZ'1996-01-02'"
+    spark.sql(f"SELECT id AS l_orderkey, id AS l_partkey, id % 4 AS l_suppkey, 1 AS l_linenumber, 30D AS l_quantity, 60D AS l_extendedprice, 0D AS l_discount, "
+              f"0D AS l_tax, 'N' AS l_returnflag, 'O' AS l_linestatus, {day} AS l_shipdate FROM range(8)").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.sql("SELECT id AS s_suppkey, 's' AS s_name, 0 AS s_nationkey, 0D AS s_acctbal FROM range(4)").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.sql("SELECT 0 AS n_nationkey, 'n' AS n_name, 0 AS n_regionkey").write.parquet(f"{tmp_path}/nation.parquet")
+    spark.sql("SELECT 0 AS r_regionkey, 'r' AS r_name").write.parquet(f"{tmp_path}/region.parquet")
+    monkeypatch.setattr(rollup, "hours_of_stretches", lambda *_: pytest.fail("hours told apart"))
+    rows = {r.ProviderName: (r.Resources, r.TotalCost) for r in QUERIES["s11_stats_sink"](spark, str(tmp_path)).collect()}
+    assert rows == {"GCP": (2, 240.0), "AWS": (2, 240.0)}
