@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.hours import hourly, low_hours, rolled
+from catalog.hours import hourly, low_hours, rolled, rolled_stretches
 from catalog.registry import query, rounded
 from catalog.sql import IS_AWS, IS_COMPUTE, IS_GCP, add, streaks, using
 from idlespan import fixed_values as fixed
@@ -39,7 +39,7 @@ _STREAK_COLUMNS = ("ResourceId", "ProviderName", "ServiceName", "ResourceType",
 
 
 def _gcp_streaks(charges, **options):
-    found = overprovisioned.gcp_low_streaks(rolled(charges), **options)
+    found = overprovisioned.gcp_low_streaks(rolled_stretches(charges), **options)
     return rounded(found.select(*_STREAK_COLUMNS), MeanCPU=6, MeanMemory=6, TotalHourlyCost=8, PotentialSavings=6)
 
 
@@ -89,7 +89,7 @@ def _(charges):
 SELECT ResourceId, free_run, idle_run FROM runs""")
 def _(charges):
     """Runs of two flags over every resource of both clouds, without a minimum."""
-    return longest_runs(rolled(charges), {
+    return longest_runs(rolled_stretches(charges), {
         "free_run": F.col("TotalHourlyCost") == 0,
         "idle_run": F.coalesce("AvgCPUUsage", F.lit(0.0)) < 0.3}).drop("RowCount")
 
@@ -149,7 +149,7 @@ add("both_found", ("gcp_found", "aws_found"), "SELECT * FROM gcp_found UNION ALL
 
 def _both_clouds(charges):
     return overprovisioned.union_of_clouds(
-        overprovisioned.gcp_low_streaks(rolled(charges)),
+        overprovisioned.gcp_low_streaks(rolled_stretches(charges)),
         overprovisioned.aws_low_streaks(_predicted_by_type(charges)))
 
 
@@ -325,17 +325,17 @@ _ZERO_COLUMNS = ("ResourceId", "ProviderName", "ServiceName", "ConsecutiveZeroHo
 
 @query("u5_zero_usage_streaks", _zero_sql(3))
 def _(charges):
-    return unused.zero_usage_streaks(rolled(charges)).select(*_ZERO_COLUMNS)
+    return unused.zero_usage_streaks(rolled_stretches(charges)).select(*_ZERO_COLUMNS)
 
 
 @query("u5_zero_usage_streaks_of_80_days", _zero_sql(80))
 def _(charges):
-    return unused.zero_usage_streaks(rolled(charges), idle_days=80).select(*_ZERO_COLUMNS)
+    return unused.zero_usage_streaks(rolled_stretches(charges), idle_days=80).select(*_ZERO_COLUMNS)
 
 
 @query("u5_zero_usage_streaks_gap_aware", _zero_sql(3, gap_aware=True))
 def _(charges):
-    return unused.zero_usage_streaks(rolled(charges), gap_aware=True).select(*_ZERO_COLUMNS)
+    return unused.zero_usage_streaks(rolled_stretches(charges), gap_aware=True).select(*_ZERO_COLUMNS)
 
 
 @query("u6_reason_distribution", using("commitments", "zero_charges") + """
@@ -381,7 +381,7 @@ FROM (SELECT 'commitment_unused' AS condition, count(*) FILTER (WHERE {IS_GCP})
       UNION ALL SELECT 'zero_usage', count(*) FILTER (WHERE {IS_GCP}), count(*) FILTER (WHERE {IS_AWS}), count(*)
       FROM zero)""")
 def _(charges):
-    return rounded(unused.unused_stats(rolled(charges)), percent=8)
+    return rounded(unused.unused_stats(rolled_stretches(charges)), percent=8)
 
 
 @query("u3_unused_resources", using("rollup", "rollup_commitments", extra=streaks("rollup", _ZERO)) + f"""

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from idlespan import fixed_values as fixed
 from idlespan.functions import numbers, text
 from idlespan.operators.quantiles import exact_quantiles
-from idlespan.operators.rollup import LAYOUT
+from idlespan.operators.rollup import LAYOUT, STRETCH, hours_each
 from idlespan.operators.streaks import longest_runs
 from idlespan.operators.timegrid import merge_tables
 from idlespan.schema import first_existing, require_columns
@@ -137,7 +137,7 @@ def zero_usage_streaks(rollup: DataFrame, idle_days: int = fixed.IDLE_DAYS,
     amounts count as 0.  Clouds are not separated.
     """
     rows, zero = _zero_rows(rollup)
-    kept = [c for c in rows.columns if c not in ("ResourceId", *LAYOUT)]
+    kept = [c for c in rows.columns if c not in ("ResourceId", STRETCH, *LAYOUT)]
     runs = longest_runs(rows, {"ConsecutiveZeroHours": zero}, keep_last=kept, gap_aware=gap_aware)
     return _as_zero_usage(runs, idle_days)
 
@@ -150,12 +150,12 @@ def unused_resources(rollup: DataFrame, idle_days: int = fixed.IDLE_DAYS) -> Dat
     """
     require_columns(rollup, ("CommitmentDiscountStatus",))
     rows, zero = _zero_rows(rollup)
-    names = [c for c in rows.columns if c not in LAYOUT]
+    names = [c for c in rows.columns if c not in (STRETCH, *LAYOUT)]
     kept = [c for c in names if c != "ResourceId"]
     # Rows are ordered with their own amounts, not with those filled in for the runs.
     given = rollup.select(*names)
     order = F.struct(*_total_order(names), *_others_last(names, ["ResourceId"]))
-    rows = rows.withColumn("_given", F.struct(*[F.col(c) for c in kept]))
+    rows = rows.withColumn("_given", F.when(_is_unused_commitment(), F.struct(*[F.col(c) for c in kept])))
     first = F.when(_is_unused_commitment(), F.struct(order.alias("at"), F.col("_given").alias("row")))
     runs = longest_runs(rows, {"ConsecutiveZeroHours": zero}, keep_last=kept, carried={"_commitment": (first, F.min)})
 
@@ -211,7 +211,8 @@ def unused_stats(rollup: DataFrame, idle_days: int = fixed.IDLE_DAYS) -> DataFra
     clouds = {c.lower(): text.matches_cloud(F.col("ProviderName"), c) for c in ("GCP", "AWS")}
     counted = {"all": F.lit(True), **clouds}
     unused = F.coalesce(_is_unused_commitment(), F.lit(False))
-    carried = {f"_commitment_{n}": ((unused & F.coalesce(c, F.lit(False))).cast("bigint"), F.sum) for n, c in counted.items()}
+    hours = hours_each(rollup).cast("bigint")
+    carried = {f"_commitment_{n}": (F.when(unused & F.coalesce(c, F.lit(False)), hours).otherwise(0), F.sum) for n, c in counted.items()}
     runs = longest_runs(rows, {"_zero": zero}, keep_last=["ProviderName"], carried=carried)
     idle = F.col("ResourceId").isNotNull() & (F.col("_zero") >= idle_days * 24)
     sums = runs.agg(

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from idlespan import fixed_values as fixed
 from idlespan.operators import learning, overprovisioned, reports, timegrid, unused
 from idlespan.operators.conversion import filter_cloud, of_cloud, provider_of_file
-from idlespan.operators.rollup import hourly_aggregate, resource_hours_of_charges
+from idlespan.operators.rollup import hourly_aggregate, resource_hours_of_charges, resource_stretches_of_charges
 from idlespan.schema import CHARGES, OVERPROVISIONED_COLUMNS, UNUSED_COLUMNS, keep_existing
 from idlespan.session import written
 from idlespan.sources.tables import SOURCE_FILE, typed
@@ -22,6 +22,11 @@ def rollup_of(charges: DataFrame) -> DataFrame:
     return resource_hours_of_charges(charges, keep_usage_date=True)
 
 
+def stretches_of(charges: DataFrame) -> DataFrame:
+    """The same rollup as a table of stretches, which runs and sums need not tell apart."""
+    return resource_stretches_of_charges(charges, keep_usage_date=True)
+
+
 def low_usage_report(*charge_tables: DataFrame) -> DataFrame:
     """Merge, clean, roll up, aggregate by hour and list resources with many low hours."""
     charges = timegrid.parse_charges(timegrid.merge_tables(*charge_tables))
@@ -40,7 +45,10 @@ def over_provisioned_report(charges: DataFrame, models=None, trainer=None) -> Da
 
 def unused_report(charges: DataFrame, idle_days: int = fixed.IDLE_DAYS) -> DataFrame:
     """Idle commitments and long runs without usage, one row per resource."""
-    return keep_existing(unused.unused_resources(rollup_of(charges), idle_days), UNUSED_COLUMNS)
+    rollup = stretches_of(charges)
+    # What is neither reported nor looked at by a rule is not shuffled: keys and costs already order a resource's rows.
+    spare = ["AvgCPUUsage", "AvgMemoryUsage", *(["TotalBilledCost"] if "TotalEffectiveCost" in rollup.columns else [])]
+    return keep_existing(unused.unused_resources(rollup.drop(*spare), idle_days), UNUSED_COLUMNS)
 
 
 def estimated_low_usage(learned_from: DataFrame, charges: DataFrame,

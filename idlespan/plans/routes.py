@@ -12,7 +12,7 @@ from idlespan import fixed_values as fixed
 from idlespan.operators import models, overprovisioned, unused, validation
 from idlespan.operators.conversion import of_cloud, with_cloud
 from idlespan.operators.rollup import LAYOUT
-from idlespan.plans.detection import rollup_of
+from idlespan.plans.detection import rollup_of, stretches_of
 from idlespan.schema import OVERPROVISIONED_COLUMNS, UNUSED_COLUMNS, keep_existing
 from idlespan.session import written
 from idlespan.sources.sinks import write_per_cloud, write_stats
@@ -66,7 +66,7 @@ def save_over_provisioned(charges: DataFrame, folder: str, fitted=None, trainer=
     predicted classes.  Returns the paths ``detections`` and ``statistics``.
     """
     rollup = rollup_of(charges)
-    found = [overprovisioned.gcp_low_streaks(rollup)]
+    found = [overprovisioned.gcp_low_streaks(stretches_of(charges))]
     if fitted is not None:
         # Stored, as runs and statistics both read what the models say.
         scored = written(trainer.predict(fitted, rollup))
@@ -80,7 +80,7 @@ def save_over_provisioned(charges: DataFrame, folder: str, fitted=None, trainer=
 
 def save_unused(charges: DataFrame, folder: str, idle_days: int = fixed.IDLE_DAYS) -> dict[str, str]:
     """Idle commitments and long runs without usage, one gzipped CSV folder per cloud, and their statistics."""
-    rollup = rollup_of(charges)
+    rollup = stretches_of(charges)
     detections = with_cloud(unused.unused_resources(rollup, idle_days))
     return _saved(keep_existing(detections, [*UNUSED_COLUMNS, "Cloud"]), unused.unused_stats(rollup, idle_days), folder)
 
