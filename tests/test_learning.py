@@ -134,3 +134,17 @@ def test_service_without_train_rows_takes_the_mean_of_means(spark):
                                  "service_name string, cpu double, memory double, copies bigint")
     found = {r.match_method: r.estimated_cpu for r in validation.compare_rows(test, patterns).collect()}
     assert found == pytest.approx({"exact_match": 0.2, "global_average": 0.4})
+
+
+def test_classifier_features_of_stretches_are_worked_out_once(spark):
+    from idlespan.operators import features, rollup
+    from tests.helpers import charge_row, charge_table, same_rows
+
+    charges = charge_table(spark, [charge_row(start_hour=h, hours=30.0, cost=c, service=s) for h, c, s in (
+        (0, 3.0, "Compute Engine"), (5.5, 7.0, None), (20, 11.0, "Cloud SQL"))])
+    hours, stretches = rollup.resource_hours_of_charges(charges), rollup.resource_stretches_of_charges(charges)
+    found = features.classifier_features(stretches, digits=7)
+    plain = features.classifier_features(hours)
+    assert found.count() == 90 and same_rows(found.withColumn("f_log_cost", F.round("f_log_cost", 6)), plain.withColumn("f_log_cost", F.round("f_log_cost", 6)))
+    text = found._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 <= text.index("explode(_hours") < text.index("LOG1P")
