@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from idlespan.llm.frames import numbered, place
 from idlespan.session import shared_folder, written
@@ -99,8 +100,13 @@ def build_index(rows: DataFrame, buckets: DataFrame) -> DataFrame:
     chained = owned.withColumns({
         "chain": F.row_number().over(chain.orderBy("head")) - 1, "links": F.count(F.lit(1)).over(chain)})
     path = shared_folder(rows.sparkSession) + "/index"
-    chained.write.parquet(path)
-    return rows.sparkSession.read.schema(chained.schema).parquet(path)
+    # A head's fields may share a name, which files may not have: they are stored by place.
+    fields = chained.schema["head"].dataType.fields
+    named, placed_only = (T.StructType([T.StructField(name or f"_{i}", f.dataType) for i, (f, name) in enumerate(zip(fields, names))])
+                          for names in ([f.name for f in fields], [None] * len(fields)))
+    stored = chained.withColumn("head", F.col("head").cast(placed_only))
+    stored.write.parquet(path)
+    return rows.sparkSession.read.schema(stored.schema).parquet(path).withColumn("head", F.col("head").cast(named))
 
 
 def exact_duplicates(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", keep_text: bool = True,
